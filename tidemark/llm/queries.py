@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from tidemark.llm import mixing, repetition
 from tidemark.llm.neardup import NearDuplicates
 from tidemark.sources.tables import table
 
@@ -18,5 +19,57 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates(table(spark, d, "chunks"), "id", "content").classes()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_classes)}
-SQL: dict[str, str] = {}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that cannot reach their target share even when repeated as often as allowed."""
+    sizes = mixing.source_sizes(table(spark, d, "documents"), "source", table(spark, d, "mix_targets"), mixing.plain_tokens("text"))
+    total = F.sum("tokens").over(W.partitionBy(F.lit(1)))  # one row per configured source
+    return sizes.withColumn("total", total).where("tokens * max_repeats < target_share * total").select("source")
+
+
+def _mix(spark: SparkSession, d: str):
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    tree = mixing.main_tree(docs, "source", "doc_kind", "lang", targets)
+    return mixing.mix(docs, "doc_id", "source", targets, tree, mixing.plain_tokens("text"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    return _mix(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target, budget and share really reached of every source."""
+    return _mix(spark, d)[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which at least three tenths are repeated five-word sequences."""
+    share = repetition.repeated_share(table(spark, d, "documents"), "doc_id", "text")
+    return share.where("n_sequences - n_distinct >= 0.30BD * n_sequences").select(F.col("id").alias("doc_id"))
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of repeated content of every document."""
+    share = repetition.repeated_share(table(spark, d, "documents"), "doc_id", "text")
+    return share.select(F.col("id").alias("doc_id"), "n_words", "n_sequences", "n_distinct", "repeated_share")
+
+
+def p10_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that many documents of a source share, removed; documents that are depleted by it."""
+    return repetition.line_frequency(table(spark, d, "documents"), "doc_id", "source", "text").withColumnRenamed("id", "doc_id")
+
+
+_WORDS10 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM documents),
+g AS (SELECT doc_id, coalesce(len(w), 0) n_words, CASE WHEN len(w) >= 20 THEN len(w) - 4 END n_sequences,
+  CASE WHEN len(w) >= 20 THEN len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END n_distinct FROM w)
+"""
+QUERIES = {f.__name__: f for f in (p4_found, p4_classes, p9_found, p9_mix, p9_shares, p10_found, p10_shares, p10_lines)}
+SQL: dict[str, str] = {
+    "p9_found": r"""
+WITH s AS (SELECT m.source, target_share, max_repeats, coalesce(sum(len(regexp_extract_all(d.text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]'))), 0) t
+  FROM mix_targets m LEFT JOIN documents d ON lower(trim(d.source)) = m.source GROUP BY ALL)
+SELECT source FROM s WHERE t * max_repeats < target_share * (SELECT sum(t) FROM s)""",
+    "p10_found": _WORDS10 + "SELECT doc_id FROM g WHERE n_sequences - n_distinct >= 0.30 * n_sequences",
+    "p10_shares": _WORDS10 + "SELECT *, 1 - n_distinct / n_sequences repeated_share FROM g",
+}
