@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tidemark.llm import mixing, repetition
+from tidemark.llm import leaks, mixing, repetition, splitting
 from tidemark.llm.neardup import NearDuplicates
 from tidemark.sources.tables import table
 
@@ -19,6 +19,26 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates(table(spark, d, "chunks"), "id", "content").classes()
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, d, "chunks"), "id", "content", "start_line")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The limits that each oversized chunk exceeds."""
+    limits = F.array_compact(F.array(F.when(F.col("too_long"), "chars"), F.when(F.col("too_many_lines"), "lines")))
+    return _pieces(spark, d).where("piece = 1").select("id", F.explode(limits).alias("exceeded"))
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of the oversized chunks."""
+    return _pieces(spark, d).drop("too_long", "too_many_lines")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that contain twelve consecutive words of an evaluation item."""
+    return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Sources that cannot reach their target share even when repeated as often as allowed."""
     sizes = mixing.source_sizes(table(spark, d, "documents"), "source", table(spark, d, "mix_targets"), mixing.plain_tokens("text"))
@@ -64,8 +84,11 @@ WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FRO
 g AS (SELECT doc_id, coalesce(len(w), 0) n_words, CASE WHEN len(w) >= 20 THEN len(w) - 4 END n_sequences,
   CASE WHEN len(w) >= 20 THEN len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END n_distinct FROM w)
 """
-QUERIES = {f.__name__: f for f in (p4_found, p4_classes, p9_found, p9_mix, p9_shares, p10_found, p10_shares, p10_lines)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_classes, p5_found, p5_pieces, p8_found, p9_found, p9_mix, p9_shares, p10_found, p10_shares, p10_lines)}
 SQL: dict[str, str] = {
+    "p5_found": r"""
+WITH s AS (SELECT id, length(content) c, len(regexp_extract_all(regexp_replace(content, '(\r?\n)+$', ''), '\n')) + 1 l FROM chunks)
+SELECT id, 'chars' exceeded FROM s WHERE c > 2000 UNION ALL SELECT id, 'lines' FROM s WHERE l > 50""",
     "p9_found": r"""
 WITH s AS (SELECT m.source, target_share, max_repeats, coalesce(sum(len(regexp_extract_all(d.text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]'))), 0) t
   FROM mix_targets m LEFT JOIN documents d ON lower(trim(d.source)) = m.source GROUP BY ALL)
