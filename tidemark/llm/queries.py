@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tidemark.llm import leaks, mixing, repetition, splitting
+from tidemark.llm.neighbours import Neighbours
 from tidemark.llm.neardup import NearDuplicates
 from tidemark.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks of which one is among the five nearest of the other."""
+    top = Neighbours(table(spark, d, "chunks_vec"), "id", "embedding").top()
+    return top.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+def p1_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest chunks of every chunk, as semantic edges with their weight."""
+    top = Neighbours(table(spark, d, "chunks_vec"), "id", "embedding").top()
+    return top.select(F.col("id").alias("source_id"), F.col("other").alias("target_id"), F.round("cosine", 4).alias("weight"), "place")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chunks whose three-word shingles have Jaccard similarity 0.6 or more."""
     return NearDuplicates(table(spark, d, "chunks"), "id", "content").pairs()
@@ -84,7 +97,7 @@ WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FRO
 g AS (SELECT doc_id, coalesce(len(w), 0) n_words, CASE WHEN len(w) >= 20 THEN len(w) - 4 END n_sequences,
   CASE WHEN len(w) >= 20 THEN len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END n_distinct FROM w)
 """
-QUERIES = {f.__name__: f for f in (p4_found, p4_classes, p5_found, p5_pieces, p8_found, p9_found, p9_mix, p9_shares, p10_found, p10_shares, p10_lines)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_edges, p4_found, p4_classes, p5_found, p5_pieces, p8_found, p9_found, p9_mix, p9_shares, p10_found, p10_shares, p10_lines)}
 SQL: dict[str, str] = {
     "p5_found": r"""
 WITH s AS (SELECT id, length(content) c, len(regexp_extract_all(regexp_replace(content, '(\r?\n)+$', ''), '\n')) + 1 l FROM chunks)
