@@ -26,6 +26,8 @@ from tidemark.session import written
 SAMPLE = 50_000
 #: Vectors of one list that meet in one task; longer lists are cut into parts of this size.
 PART = 4096
+#: Vectors of a group of lists that meet in one task.
+GROUP = 8192
 BLOCK = 16
 
 
@@ -92,6 +94,12 @@ class Neighbours:
         x = (unit(rows.tolist()).astype(np.float32) @ self.rotation) if len(rows) else np.zeros((1, self.dims), np.float32)
         return fit_centroids(x, self.lists)
 
+    def _groups(self) -> np.ndarray:
+        """The group of each list: nearest of about lists / 12 centroids of centroids."""
+        k = max(1, round(self.lists / 12))
+        c = fit_centroids(self.centroids.astype(np.float64), k)
+        return np.argmax(self.centroids @ c.T, axis=1)
+
     def neighbours(self) -> DataFrame:
         """``id, other, cosine, place`` among representatives, nearest first."""
         k, eps, dims, probes = self.k, self.epsilon, self.dims, self.probes
@@ -167,27 +175,62 @@ class Neighbours:
         first = written(members.groupBy("list", "part").applyInPandas(local, "id bigint, others array<bigint>, dists array<float>"), "local")
         bound = first.select("id", F.coalesce(F.try_element_at("dists", F.lit(k)), F.lit(4.0)).cast("float").alias("bound"))
         queries = base.select("id", "v", "list", "part", "parts", "other_lists").join(bound, "id")
+        # Neighbouring lists form a group; a vector is sent once to each group that it probes, not
+        # once to each list. Groups beyond GROUP vectors are cut by a hash, vectors visit each part.
+        group_of = self._groups()
+        groups = self.spark.createDataFrame([(int(i), int(g)) for i, g in enumerate(group_of)], "list int, grp int")
+        filled: dict[int, int] = {}
+        for r in sizes:
+            filled[int(group_of[r["list"]])] = filled.get(int(group_of[r["list"]]), 0) + r["count"]
+        gcut = self.spark.createDataFrame(sorted((g, -(-n // GROUP)) for g, n in filled.items()), "grp int, gparts int")
+        lists = F.when(F.col("parts") > 1, F.concat(F.array("list"), "other_lists")).otherwise(F.col("other_lists"))
+        lookup = self.spark.sparkContext.broadcast(group_of)
+
+        @F.pandas_udf("array<struct<grp:int,probes:array<int>>>")
+        def by_group(lists: pd.Series) -> pd.Series:
+            g = lookup.value
+            out = []
+            for row in lists:
+                seen: dict[int, list[int]] = {}
+                for i in row:
+                    seen.setdefault(int(g[i]), []).append(int(i))
+                out.append([{"grp": x, "probes": y} for x, y in seen.items()])
+            return pd.Series(out)
+
         every = lambda n: F.sequence(F.lit(0), n - 1)
-        visits = queries.select("id", "v", "bound", F.explode("other_lists").alias("list")).join(F.broadcast(cut), "list").select("id", "v", "bound", "list", F.explode(every(F.col("parts"))).alias("part"))
-        own = queries.where("parts > 1").select("id", "v", "bound", "list", F.col("part").alias("p"), F.explode(every(F.col("parts"))).alias("part")).where("part <> p").drop("p")
-        sides = members.select("list", "part", "id", "v", F.lit(None).cast("float").alias("bound"))
-        both = sides.unionByName(visits.unionByName(own).select("list", "part", "id", "v", "bound"))
+        visits = queries.select("id", "v", "bound", "list", "part", F.explode(by_group(lists)).alias("g")).select("id", "v", "bound", "list", "part", "g.grp", "g.probes")
+        visits = visits.join(F.broadcast(gcut), "grp").select("grp", F.explode(every(F.col("gparts"))).alias("gpart"), "id", "v", "list", "part", "bound", "probes")
+        sides = base.join(F.broadcast(groups), "list").join(F.broadcast(gcut), "grp").select(
+            "grp", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("gparts").cast("bigint")).cast("int").alias("gpart"), "id", "v", "list", "part",
+            F.lit(None).cast("float").alias("bound"), F.lit(None).cast("array<int>").alias("probes"))
+        both = sides.unionByName(visits)
 
         def probe(pdf: pd.DataFrame) -> pd.DataFrame:
             side = pdf["bound"].isna().to_numpy()
-            ids = pdf["id"].to_numpy()
+            ids, home, part = pdf["id"].to_numpy(), pdf["list"].to_numpy(), pdf["part"].to_numpy()
             v = np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(len(pdf), dims)
-            y, yid, q, qid, b = v[side], ids[side], v[~side], ids[~side], pdf["bound"].to_numpy()[~side]
+            y, yid, yhome, ypart = v[side], ids[side], home[side], part[side]
+            q, qid, qhome, qpart, b = v[~side], ids[~side], home[~side], part[~side], pdf["bound"].to_numpy()[~side]
+            wanted = pdf["probes"][~side].tolist()
+            number = np.repeat(np.arange(len(q)), [len(w) for w in wanted])
+            target = np.concatenate([np.asarray(w, np.int64) for w in wanted]) if wanted else np.empty(0, np.int64)
             out = []
-            for lo in range(0, len(q), 512):
-                i, j, d = scan(q[lo : lo + 512], b[lo : lo + 512], y, dims)
-                out.append(best(qid[lo + i], yid[j], d, keep))
+            for lst in np.unique(target):
+                at, who = np.flatnonzero(yhome == lst), number[target == lst]
+                if not len(at):
+                    continue
+                for lo in range(0, len(who), 512):
+                    w = who[lo : lo + 512]
+                    i, j, d = scan(q[w], b[w], y[at], dims)
+                    i, j = w[i], at[j]
+                    new = (qhome[i] != lst) | (qpart[i] != ypart[j])  # its own part was compared before
+                    out.append((qid[i[new]], yid[j[new]], d[new]))
             if not out:
                 return pd.DataFrame({"id": [], "other": [], "dist": []}).astype({"id": "int64", "other": "int64", "dist": "float32"})
-            a, o, d = (np.concatenate(z) for z in zip(*out))
+            a, o, d = best(*(np.concatenate(z) for z in zip(*out)), keep)
             return pd.DataFrame({"id": a, "other": o, "dist": d.astype(np.float32)})
 
-        more = both.groupBy("list", "part").applyInPandas(probe, "id bigint, other bigint, dist float")
+        more = both.groupBy("grp", "gpart").applyInPandas(probe, "id bigint, other bigint, dist float")
         flat = first.select("id", F.explode(F.arrays_zip("others", "dists")).alias("z")).select("id", F.col("z.others").alias("other"), F.col("z.dists").alias("dist"))
         some = flat.unionByName(more).groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "other"))), 1, keep).alias("c"))
         pairs = some.select("id", F.explode("c").alias("c")).select("id", F.col("c.other").alias("other"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tidemark.llm import leaks, mixing, repetition, splitting
+from tidemark.llm import leaks, markup, mixing, repetition, splitting
 from tidemark.llm.neighbours import Neighbours
 from tidemark.llm.neardup import NearDuplicates
 from tidemark.sources.tables import table
@@ -22,6 +22,21 @@ def p1_edges(spark: SparkSession, d: str) -> DataFrame:
     return top.select(F.col("id").alias("source_id"), F.col("other").alias("target_id"), F.round("cosine", 4).alias("weight"), "place")
 
 
+def _content(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").where("chunk_domain = 'content'")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The markup languages and elements of every content chunk."""
+    found = markup.read_markup(_content(spark, d), "id", "content")
+    return found.select("id", F.explode("found").alias("f")).select("id", "f.markup", "f.element")
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Content chunks as clean text that keeps headings, lists, code blocks and formulas."""
+    return markup.read_markup(_content(spark, d), "id", "content", True).select("id", "n_leaves", "clean")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chunks whose three-word shingles have Jaccard similarity 0.6 or more."""
     return NearDuplicates(table(spark, d, "chunks"), "id", "content").pairs()
@@ -97,7 +112,7 @@ WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FRO
 g AS (SELECT doc_id, coalesce(len(w), 0) n_words, CASE WHEN len(w) >= 20 THEN len(w) - 4 END n_sequences,
   CASE WHEN len(w) >= 20 THEN len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END n_distinct FROM w)
 """
-QUERIES = {f.__name__: f for f in (p1_found, p1_edges, p4_found, p4_classes, p5_found, p5_pieces, p8_found, p9_found, p9_mix, p9_shares, p10_found, p10_shares, p10_lines)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_edges, p3_found, p3_clean, p4_found, p4_classes, p5_found, p5_pieces, p8_found, p9_found, p9_mix, p9_shares, p10_found, p10_shares, p10_lines)}
 SQL: dict[str, str] = {
     "p5_found": r"""
 WITH s AS (SELECT id, length(content) c, len(regexp_extract_all(regexp_replace(content, '(\r?\n)+$', ''), '\n')) + 1 l FROM chunks)
