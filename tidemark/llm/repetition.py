@@ -23,13 +23,16 @@ def repeated_share(df: DataFrame, id_col: str, text_col: str, width: int = 5, le
     or have fewer than ``least_words`` words have null sequences and share. Texts are taken whole,
     however long. A document that is listed twice gives two rows. Works row by row, without shuffle.
     """
-    w = df.select(F.col(id_col).alias("id"), words(text_col).alias("w")).withColumn("n_words", F.coalesce(F.size("w"), F.lit(0)))
-    enough = F.col("n_words") >= max(least_words, width)
-    sequences = F.transform(F.sequence(F.lit(1), F.col("n_words") - (width - 1)), lambda i: F.array_join(F.slice("w", i, width), " "))
-    counted = w.select(
-        "id", F.greatest("n_words", F.lit(0)).alias("n_words"),
-        F.when(enough, F.col("n_words") - (width - 1)).alias("n_sequences"),
-        F.when(enough, F.size(F.array_distinct(sequences))).alias("n_distinct"))
+    least = max(least_words, width)
+
+    def counts(w: Column) -> Column:
+        # The words are the variable of a lambda, so that they are split once and not per sequence.
+        sequences = F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.array_join(F.slice(w, i, width), " "))
+        return F.struct(F.size(w).alias("n"), F.when(F.size(w) >= least, F.size(F.array_distinct(sequences))).alias("d"))
+
+    c = F.transform(F.array(F.coalesce(words(text_col), F.array().cast("array<string>"))), counts)[0]
+    counted = df.select(F.col(id_col).alias("id"), F.explode(F.array(c)).alias("c")).select(
+        "id", F.col("c.n").alias("n_words"), F.when(F.col("c.n") >= least, F.col("c.n") - (width - 1)).alias("n_sequences"), F.col("c.d").alias("n_distinct"))
     return counted.withColumn("repeated_share", 1 - F.col("n_distinct") / F.col("n_sequences"))
 
 
