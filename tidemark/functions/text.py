@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
+from pyspark.sql.types import StringType
 from pyspark.sql import Column, functions as F
 
 
@@ -122,7 +123,7 @@ def porter(w: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem(words: pd.Series) -> pd.Series:
     """Porter stems; applied to distinct words only."""
     return words.map(porter, na_action="ignore")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+from pyspark.sql.types import StringType
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
@@ -67,7 +68,7 @@ def merge_patch(target, patch):
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_patch(target: pd.Series, patch: pd.Series) -> pd.Series:
     """Merge patch on JSON texts; a null patch changes nothing, text that is no JSON counts as {}."""
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import problems
+from tidemark.plans import activity, problems, retrieval
 
-MODULES = [problems]
+MODULES = [activity, retrieval, problems]
 
 
 def queries() -> dict:
@@ -16,4 +16,4 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark, sf_dir):
-    return queries()["p6_found"](spark, sf_dir)
+    return queries()["hybrid_search"](spark, sf_dir)

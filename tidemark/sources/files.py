@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql.types import StringType
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.sources.config import BINARY_SUFFIXES, DEFAULT_IGNORE, KEPT_DOT_FOLDERS, LANGUAGE_OF, LANGUAGE_OF_NAME
@@ -92,7 +93,7 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, max_kb
     return df.select("file_path", "length", F.md5("content").alias("file_hash"), decode_text("content").alias("text"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_text(raw: pd.Series) -> pd.Series:
     """UTF-8 with replacement characters."""
     return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql.types import StringType
 from pyspark.sql import Column, functions as F
 
 # Elements whose text is dropped, and elements that end a line.
@@ -44,7 +45,7 @@ def page_text(html: str | None) -> str | None:
     return "\n".join(s for line in "".join(p.out).split("\n") if (s := line.strip()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text(html: pd.Series) -> pd.Series:
     return html.map(page_text, na_action="ignore")
 
