@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.text import porter, stem, tokens
+from tidemark.session import written
 
 K1, B = 1.2, 0.75
 OPERATORS = {"AND", "OR", "NOT"}
@@ -26,23 +27,39 @@ class TextIndex:
     def __init__(self, docs: DataFrame, id_col: str = "id", text_col: str = "content", stemmed: bool = True):
         self.stemmed = stemmed
         self.docs = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
-        self.lengths = self.docs.select("id", F.coalesce(F.size("w"), F.lit(0)).alias("dl"))
-        raw = self.docs.select("id", F.explode("w").alias("word")).groupBy("word", "id").agg(F.count(F.lit(1)).alias("tf"))
-        self.words = raw
-        self.postings = raw.withColumnRenamed("word", "term")
+        self._kept: tuple[DataFrame, DataFrame] | None = None
+        self._sizes = None
+
+    def _tables(self) -> tuple[DataFrame, DataFrame]:
+        """Postings (word, id, tf) and lengths (id, dl), written once: postings sorted by word, so that
+        a search reads the row groups of its words only."""
+        if self._kept is None:
+            raw = self.docs.select("id", F.explode("w").alias("word")).groupBy("word", "id").agg(F.count(F.lit(1)).alias("tf"))
+            words = written(raw.sortWithinPartitions("word"), "postings")
+            own = words.groupBy("id").agg(F.sum("tf").cast("int").alias("dl"))
+            lengths = self.docs.select("id").join(own, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
+            self._kept = words, written(lengths, "lengths")
+        return self._kept
+
+    def _lengths(self) -> DataFrame:
+        return self._kept[1] if self._kept else self.docs.select("id", F.coalesce(F.size("w"), F.lit(0)).alias("dl"))
 
     def _postings(self, terms: list[str], prefix: bool) -> DataFrame:
         """Postings of the wanted terms only: ``q_term, id, tf``."""
         spark = self.docs.sparkSession
-        if not self.stemmed and not prefix:
-            return self.words.where(F.col("word").isin(*terms)).select(F.col("word").alias("q_term"), "id", "tf")
+        if not self.stemmed and not prefix:  # one pass that keeps the wanted words only
+            if self._kept:
+                return self._kept[0].where(F.col("word").isin(*terms)).select(F.col("word").alias("q_term"), "id", "tf")
+            some = self.docs.select("id", F.explode(F.filter("w", lambda x: x.isin(*terms))).alias("q_term"))
+            return some.groupBy("q_term", "id").agg(F.count(F.lit(1)).alias("tf"))
+        words = self._tables()[0]
         # Stems are taken of distinct words, before the join with the postings.
-        vocabulary = self.words.select("word").distinct()
+        vocabulary = words.select("word").distinct()
         vocabulary = vocabulary.withColumn("term", stem("word") if self.stemmed else F.col("word"))
         wanted = spark.createDataFrame([(t,) for t in terms], "q_term string")
         match = F.col("term").startswith(F.col("q_term")) if prefix else F.col("term") == F.col("q_term")
         hits = vocabulary.join(F.broadcast(wanted), match).select("word", "q_term")
-        return self.words.join(hits, "word").groupBy("q_term", "id").agg(F.sum("tf").alias("tf"))
+        return words.join(hits, "word").groupBy("q_term", "id").agg(F.sum("tf").alias("tf"))
 
     def search(self, queries: list[tuple[int, str]], keep: DataFrame | None = None, limit: int = 10, prefix: bool = False) -> DataFrame:
         """``query_no, id, score, rank``: the best documents of each query; a lower score is better.
@@ -61,10 +78,12 @@ class TextIndex:
         plan = spark.createDataFrame(rows, "query_no int, grp int, q_term string, wanted boolean").distinct()
         need = plan.where("wanted").groupBy("query_no", "grp").agg(F.countDistinct("q_term").alias("need"))
         post = self._postings(sorted({r[2] for r in rows}), prefix)
-        n_docs, mean = self.lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
+        if self._sizes is None:
+            self._sizes = self._lengths().agg(F.count(F.lit(1)), F.avg("dl")).first()
+        n_docs, mean = self._sizes
         df = post.groupBy("q_term").agg(F.count(F.lit(1)).alias("df"))
         # The query plan is as small as the queries; postings and lengths are joined by id.
-        hit = post.join(F.broadcast(plan), "q_term").join(F.broadcast(df), "q_term").join(self.lengths, "id")
+        hit = post.join(F.broadcast(plan), "q_term").join(F.broadcast(df), "q_term").join(self._lengths(), "id")
         idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
         idf = F.when(idf > 0, idf).otherwise(1e-6)
         part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
@@ -206,6 +225,7 @@ def hybrid(index: TextIndex, vectors: DataFrame, counts: DataFrame, queries: lis
     if keep is not None:
         vec = vec.join(keep, "id", "left_semi")
     vec = vec.withColumn("rank", F.row_number().over(W.partitionBy("query_no").orderBy(F.desc(F.round("similarity", 6)), "rank")))
+    text, vec = written(text.select("query_no", "id", "rank"), "text-ranks"), written(vec.select("query_no", "id", "rank"), "vector-ranks")
     found = {r[0] for r in text.select("query_no").union(vec.select("query_no")).distinct().collect()}  # one row a query
     lost = [(n, q) for n, q in queries if n not in found]
     lists = [text, vec]
