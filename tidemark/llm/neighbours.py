@@ -9,7 +9,7 @@
 4. Then every vector visits its ``probes`` nearest other lists. Distances are accumulated by blocks
    of columns; after each block a hypothesis test (partial distance against the bound, widened by
    ``epsilon / sqrt(d)``) abandons the candidates that can hardly come below the bound.
-5. The best candidates are compared once more in double precision.
+5. What is left is compared in double precision on the vectors as they were given, in the same task.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.session import written
@@ -31,17 +32,34 @@ GROUP = 8192
 BLOCK = 16
 
 
-def unit(v) -> np.ndarray:
-    """Rows of length one in double precision."""
-    m = np.vstack(v).astype(np.float64)
+def unit(blobs, dtype, dims: int) -> np.ndarray:
+    """Rows of length one in double precision, from the bytes of the given vectors."""
+    m = np.frombuffer(b"".join(blobs), dtype).reshape(-1, dims).astype(np.float64)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def usable(df: DataFrame, id_col: str, vec_col: str, dims: int) -> DataFrame:
-    """``id, vec`` of rows with an id and ``dims`` finite values that are not all zero."""
-    v = F.col(vec_col)
-    fine = (F.size(v) == dims) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.select(F.col(id_col).alias("id"), v.cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
+def usable(df: DataFrame, id_col: str, vec_col: str, dims: int) -> tuple[DataFrame, type]:
+    """``id, k1, k2, v`` of rows with an id and ``dims`` finite values that are not all zero, and the
+    type of the values. ``v`` is the vector's bytes, ``k1, k2`` are equal for equal directions."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
+    dtype = np.float32 if rows.schema["vec"].dataType.elementType.simpleString() == "float" else np.float64
+
+    def read(batches):
+        for pdf in batches:
+            ok = [i for i, x in enumerate(pdf["vec"]) if len(x) == dims]
+            if not ok:
+                continue
+            m = np.vstack([np.asarray(pdf["vec"].iloc[i], dtype) for i in ok])
+            good = np.isfinite(m).all(axis=1) & m.any(axis=1)
+            if not good.any():
+                continue
+            m, ids = m[good], pdf["id"].to_numpy()[ok][good]
+            x = m.astype(np.float64)
+            x = np.round(x / np.linalg.norm(x, axis=1, keepdims=True), 12) + 0.0
+            keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r.tobytes()) for r in x), np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"id": ids, "k1": keys[:, 0], "k2": keys[:, 1], "v": [r.tobytes() for r in m]})
+
+    return rows.mapInPandas(read, "id bigint, k1 bigint, k2 bigint, v binary"), dtype
 
 
 def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -69,16 +87,12 @@ class Neighbours:
     fitted on a sample of at most ``SAMPLE`` rows.
     """
 
-    def __init__(self, df: DataFrame, id_col: str, vec_col: str, dims: int = 64, k: int = 5, probes: int = 24, epsilon: float = 2.1, list_size: int = 200, seed: int = 3):
+    def __init__(self, df: DataFrame, id_col: str, vec_col: str, dims: int = 64, k: int = 5, probes: int = 10, epsilon: float = 2.1, list_size: int = 200, seed: int = 3):
         self.spark, self.dims, self.k, self.epsilon = df.sparkSession, dims, k, epsilon
-        good = usable(df, id_col, vec_col, dims)
-        length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-        rounded = F.transform("vec", lambda x: F.round(x / length, 12))
-        self.vectors = good.withColumns({"k1": F.xxhash64(rounded), "k2": F.xxhash64(F.lit(1), rounded)})
-        reps = (
-            self.vectors.withColumn("ids", F.array("id")).groupBy("k1", "k2")
-            .agg(F.min("id").alias("rep"), F.min_by("vec", "id").alias("vec"), F.count(F.lit(1)).alias("copies")))
-        self.reps = written(reps.select("rep", "vec", "copies"), "vectors")
+        rows, self.dtype = usable(df, id_col, vec_col, dims)
+        self.vectors = written(rows, "keyed")
+        reps = self.vectors.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min_by("v", "id").alias("v"), F.count(F.lit(1)).alias("copies"))
+        self.reps = written(reps, "vectors")
         self.total = self.reps.count()
         rng = np.random.default_rng(seed)
         self.rotation = np.linalg.qr(rng.normal(size=(dims, dims)))[0].astype(np.float32)
@@ -90,8 +104,8 @@ class Neighbours:
         if not self.total:
             return np.zeros((1, self.dims), np.float32)
         share = min(1.0, 1.1 * SAMPLE / self.total)
-        rows = self.reps.select("vec").sample(share, seed).limit(SAMPLE).toPandas()["vec"] if share < 1 else self.reps.select("vec").toPandas()["vec"]
-        x = (unit(rows.tolist()).astype(np.float32) @ self.rotation) if len(rows) else np.zeros((1, self.dims), np.float32)
+        rows = (self.reps.select("v").sample(share, seed) if share < 1 else self.reps.select("v")).limit(SAMPLE).toPandas()["v"]
+        x = (unit(rows, self.dtype, self.dims).astype(np.float32) @ self.rotation) if len(rows) else np.zeros((1, self.dims), np.float32)
         return fit_centroids(x, self.lists)
 
     def _groups(self) -> np.ndarray:
@@ -101,8 +115,9 @@ class Neighbours:
         return np.argmax(self.centroids @ c.T, axis=1)
 
     def neighbours(self) -> DataFrame:
-        """``id, other, cosine, place`` among representatives, nearest first."""
-        k, eps, dims, probes = self.k, self.epsilon, self.dims, self.probes
+        """``id, other, cosine`` candidates among representatives; the k best of each are right but for the
+        accepted loss."""
+        k, eps, dims, probes, dtype = self.k, self.epsilon, self.dims, self.probes, self.dtype
         shared = self.spark.sparkContext.broadcast((self.rotation, self.centroids))  # at most 4096 centroids
 
         def assign(batches):
@@ -110,14 +125,13 @@ class Neighbours:
             for pdf in batches:
                 if not len(pdf):
                     continue
-                x = unit(pdf["vec"].tolist())
-                r = x.astype(np.float32) @ rot
+                r = unit(pdf["v"], dtype, dims).astype(np.float32) @ rot
                 sim = r @ cent.T
                 take = min(probes + 1, sim.shape[1])
-                near = np.argpartition(-sim, take - 1, axis=1)[:, :take] if take < sim.shape[1] else np.tile(np.arange(take), (len(x), 1))
+                near = np.argpartition(-sim, take - 1, axis=1)[:, :take] if take < sim.shape[1] else np.tile(np.arange(take), (len(r), 1))
                 order = np.argsort(-np.take_along_axis(sim, near, 1), axis=1, kind="stable")
                 near = np.take_along_axis(near, order, 1).astype(np.int32)
-                yield pd.DataFrame({"id": pdf["rep"], "list": near[:, 0], "other_lists": [a.tolist() for a in near[:, 1:]], "v": [a.tobytes() for a in r]})
+                yield pd.DataFrame({"id": pdf["rep"], "list": near[:, 0], "other_lists": [a.tolist() for a in near[:, 1:]], "v": pdf["v"]})
 
         assigned = written(self.reps.mapInPandas(assign, "id bigint, list int, other_lists array<int>, v binary"), "assigned")
         # Lists longer than PART are cut by a hash of the id; vectors meet every part of a list.
@@ -127,6 +141,11 @@ class Neighbours:
         base = assigned.join(F.broadcast(cut), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("bigint")).cast("int"))
         members = base.select("list", "part", "id", "v")
 
+        def read(blobs):
+            """Unit vectors in double precision, and rotated in single precision."""
+            x = unit(blobs, dtype, dims)
+            return x, x.astype(np.float32) @ shared.value[0]
+
         def best(ids, found, dist, upto):
             """The ``upto`` nearest per query, of flat (query, id, distance)."""
             order = np.lexsort((found, dist, ids))
@@ -158,22 +177,23 @@ class Neighbours:
         def local(pdf: pd.DataFrame) -> pd.DataFrame:
             """A part of a list against itself."""
             ids = pdf["id"].to_numpy()
-            y = np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(len(pdf), dims)
-            out = []
-            for lo in range(0, len(ids), 512):
+            x, y = read(pdf["v"])
+            out, n = [], len(ids)
+            for lo in range(0, n, 512):
                 dist = np.maximum(0, 2 - 2 * (y[lo : lo + 512] @ y.T))
                 dist[np.arange(len(dist)), lo + np.arange(len(dist))] = np.inf
-                top = np.argpartition(dist, keep - 1, axis=1)[:, :keep] if len(ids) > keep else np.tile(np.arange(len(ids)), (len(dist), 1))
-                d = np.take_along_axis(dist, top, 1)
-                order = np.argsort(d, axis=1, kind="stable")
-                top, d = np.take_along_axis(top, order, 1), np.take_along_axis(d, order, 1)
+                top = np.argpartition(dist, keep - 1, axis=1)[:, :keep] if n > keep else np.tile(np.arange(n), (len(dist), 1))
+                cos = np.einsum("ij,ikj->ik", x[lo : lo + 512], x[top])
+                cos[top == (lo + np.arange(len(dist)))[:, None]] = -9
+                order = np.lexsort((ids[top], -cos), axis=1)
+                top, cos = np.take_along_axis(top, order, 1), np.take_along_axis(cos, order, 1)
                 for i in range(len(dist)):
-                    ok = np.isfinite(d[i])
-                    out.append((ids[lo + i], ids[top[i][ok]].tolist(), d[i][ok].tolist()))
-            return pd.DataFrame(out, columns=["id", "others", "dists"])
+                    ok = cos[i] > -5
+                    out.append((ids[lo + i], ids[top[i][ok]].tolist(), cos[i][ok].tolist()))
+            return pd.DataFrame(out, columns=["id", "others", "cosines"])
 
-        first = written(members.groupBy("list", "part").applyInPandas(local, "id bigint, others array<bigint>, dists array<float>"), "local")
-        bound = first.select("id", F.coalesce(F.try_element_at("dists", F.lit(k)), F.lit(4.0)).cast("float").alias("bound"))
+        first = written(members.groupBy("list", "part").applyInPandas(local, "id bigint, others array<bigint>, cosines array<double>"), "local")
+        bound = first.select("id", F.coalesce(2 - 2 * F.try_element_at("cosines", F.lit(k)), F.lit(4.0)).cast("float").alias("bound"))
         queries = base.select("id", "v", "list", "part", "parts", "other_lists").join(bound, "id")
         # Neighbouring lists form a group; a vector is sent once to each group that it probes, not
         # once to each list. Groups beyond GROUP vectors are cut by a hash, vectors visit each part.
@@ -208,7 +228,8 @@ class Neighbours:
         def probe(pdf: pd.DataFrame) -> pd.DataFrame:
             side = pdf["bound"].isna().to_numpy()
             ids, home, part = pdf["id"].to_numpy(), pdf["list"].to_numpy(), pdf["part"].to_numpy()
-            v = np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(len(pdf), dims)
+            x, v = read(pdf["v"])
+            xy, xq = x[side], x[~side]
             y, yid, yhome, ypart = v[side], ids[side], home[side], part[side]
             q, qid, qhome, qpart, b = v[~side], ids[~side], home[~side], part[~side], pdf["bound"].to_numpy()[~side]
             wanted = pdf["probes"][~side].tolist()
@@ -224,30 +245,22 @@ class Neighbours:
                     i, j, d = scan(q[w], b[w], y[at], dims)
                     i, j = w[i], at[j]
                     new = (qhome[i] != lst) | (qpart[i] != ypart[j])  # its own part was compared before
-                    out.append((qid[i[new]], yid[j[new]], d[new]))
+                    out.append((i[new], j[new], d[new]))
             if not out:
-                return pd.DataFrame({"id": [], "other": [], "dist": []}).astype({"id": "int64", "other": "int64", "dist": "float32"})
-            a, o, d = best(*(np.concatenate(z) for z in zip(*out)), keep)
-            return pd.DataFrame({"id": a, "other": o, "dist": d.astype(np.float32)})
-
-        more = both.groupBy("grp", "gpart").applyInPandas(probe, "id bigint, other bigint, dist float")
-        flat = first.select("id", F.explode(F.arrays_zip("others", "dists")).alias("z")).select("id", F.col("z.others").alias("other"), F.col("z.dists").alias("dist"))
-        some = flat.unionByName(more).groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "other"))), 1, keep).alias("c"))
-        pairs = some.select("id", F.explode("c").alias("c")).select("id", F.col("c.other").alias("other"))
-        exact = pairs.join(self.reps.select(F.col("rep").alias("id"), F.col("vec").alias("x")), "id").join(self.reps.select(F.col("rep").alias("other"), F.col("vec").alias("y")), "other")
-
-        @F.pandas_udf("double")
-        def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
-            return pd.Series((unit(x.tolist()) * unit(y.tolist())).sum(1)) if len(x) else pd.Series([], dtype="float64")
+                return pd.DataFrame({"id": [], "other": [], "cosine": []}).astype({"id": "int64", "other": "int64", "cosine": "float64"})
+            a, o, _ = best(*(np.concatenate(z) for z in zip(*out)), keep)
+            return pd.DataFrame({"id": qid[a], "other": yid[o], "cosine": (xq[a] * xy[o]).sum(1)})
 
-        return exact.select("id", "other", cosine("x", "y").alias("cosine"))
+        more = both.groupBy("grp", "gpart").applyInPandas(probe, "id bigint, other bigint, cosine double")
+        flat = first.select("id", F.explode(F.arrays_zip("others", "cosines")).alias("z")).select("id", F.col("z.others").alias("other"), F.col("z.cosines").alias("cosine"))
+        return flat.unionByName(more)
 
     def top(self) -> DataFrame:
         """``id, other, cosine, place``: the k nearest of every vector, copies included."""
         k = self.k
         near = self.neighbours()
         copies = self.vectors.select("k1", "k2", "id")
-        few = written(self.vectors.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "groups")
+        few = self.reps.select("k1", "k2", "rep", "copies")
         multi = few.where("copies > 1")
         if multi.isEmpty():
             place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("cosine"), "other"))

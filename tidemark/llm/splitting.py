@@ -21,6 +21,14 @@ OPEN, CLOSE = re.compile(r"\s*(<pre\b|\\begin\{(?:verbatim|lstlisting)\}|<syntax
 SENTENCE, SPACE = re.compile(r"[.!?…;:][\"')\]]*\s+"), re.compile(r"\s+")
 
 
+def trim_end(text: str) -> str:
+    """The text without the line breaks (LF or CRLF) at its very end."""
+    i = len(text)
+    while i and text[i - 1] == "\n":
+        i -= 2 if i > 1 and text[i - 2] == "\r" else 1
+    return text[:i]
+
+
 class Splitter:
     """Cuts one text. ``max_chars`` and ``max_lines`` hold for pieces with their overlap."""
 
@@ -81,7 +89,7 @@ class Splitter:
     def pieces(self, text: str) -> list[tuple[int, int]]:
         """Character ranges of the pieces, overlap included, in order. Text without the line breaks
         at its very end is covered completely; a text within the limits is one piece, an empty one none."""
-        text = re.sub(r"(?:\r?\n)+\Z", "", text)
+        text = trim_end(text)
         if not text:
             return []
         if len(text) <= self.max_chars and text.count("\n") < self.max_lines:
@@ -133,7 +141,8 @@ def exceeded(text: str, max_chars: int = 2000, max_lines: int = 50):
     """Columns for the two limits of a text column: code points, and lines that end in LF or CRLF,
     where line breaks at the very end add no line."""
     chars = F.length(text)
-    lines = F.regexp_count(F.regexp_replace(F.col(text), r"(\r?\n)+\z", ""), F.lit("\n")) + 1
+    # A CR at the very end is left over from nothing but CRLF, and is no line, so both may be trimmed.
+    lines = F.regexp_count(F.rtrim(F.col(text), F.lit("\r\n")), F.lit("\n")) + 1
     return chars > max_chars, lines > max_lines
 
 
