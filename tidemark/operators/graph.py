@@ -174,7 +174,7 @@ def pagerank(edges: DataFrame, rounds: int = 100, alpha: float = 0.85, tol: floa
     return rank.select("id", F.round("rank", 6).alias("rank"))
 
 
-def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 16) -> DataFrame:
     """``id, community``: groups of the undirected, weighted graph by distributed local moves.
 
     Every round each node compares the modularity gain of joining its neighbours' groups; half of
@@ -189,6 +189,7 @@ def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
     if not m2:
         return edges.sparkSession.createDataFrame([], "id bigint, community bigint")
     lab = deg.select("id", F.col("id").alias("c"), "k")
+    still = 0
     for r in range(rounds):
         size = lab.groupBy("c").agg(F.sum("k").alias("s"))
         near = two.join(lab.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("kin"))
@@ -201,7 +202,8 @@ def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
         go = turn & (F.col("b.g") > F.col("stay0") + 1e-9)
         new = cut(lone.select("id", F.when(go, -F.col("b.c")).otherwise(F.col("c")).alias("c"), "k", go.alias("go")))
         lab = new.drop("go")
-        if r and not new.where("go").limit(1).count():
+        still = 0 if new.where("go").limit(1).count() else still + 1
+        if still == 4:  # every node had its turn
             break
     name = lab.groupBy("c").agg(F.min("id").alias("community"))
     return lab.join(name, "c").select("id", "community")

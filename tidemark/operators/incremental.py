@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.operators.skew import lookup
 from tidemark.sources.manifest import Manifest
 
 
@@ -85,10 +86,12 @@ def file_changes(scan: DataFrame, index: DataFrame) -> DataFrame:
 def commit_watermarks(commits: DataFrame, projects: DataFrame) -> DataFrame:
     """Per project the timestamp of the commit that ``last_indexed_commit`` names in full or by its
     first digits: ``project_id, mark``. A name that fits no commit gives no row; of several commits
-    that fit, the latest counts."""
-    named = projects.select(F.col("id").alias("project_id"), _hash("last_indexed_commit").alias("named")).where("named IS NOT NULL").distinct()
+    that fit, the latest counts, as does the greatest name of a project that is listed twice. A
+    project may hold a large share of all commits."""
+    named = projects.select(F.col("id").alias("project_id"), _hash("last_indexed_commit").alias("named")).where("named IS NOT NULL")
+    named = named.groupBy("project_id").agg(F.max("named").alias("named"))
     return (
-        commits.select("project_id", _hash("hash").alias("hash"), "timestamp").join(named, "project_id")
+        lookup(commits.select("project_id", _hash("hash").alias("hash"), "timestamp"), "project_id", named)
         .where(F.expr("startswith(hash, named)")).groupBy("project_id").agg(F.max("timestamp").alias("mark"))
     )
 
@@ -98,6 +101,6 @@ def commit_changes(commits: DataFrame, projects: DataFrame) -> DataFrame:
     ``file_changes``. Rows without hash or timestamp have no place in the sequence and are left out;
     a commit that is listed twice is one."""
     marks = commit_watermarks(commits, projects)
-    due = commits.where("hash IS NOT NULL AND timestamp IS NOT NULL").join(marks, "project_id", "left").where("mark IS NULL OR timestamp > mark")
+    due = lookup(commits.where("hash IS NOT NULL AND timestamp IS NOT NULL"), "project_id", marks).where("mark IS NULL OR timestamp > mark")
     return due.groupBy("project_id", F.col("hash").alias("item_key")).agg(F.max("timestamp").alias("t")).select(
         F.lit("commit").alias("item_kind"), "project_id", "item_key", F.lit("new").alias("change"), (F.col("t") * 1_000_000).alias("seq"))

@@ -66,18 +66,21 @@ class TextIndex:
 
         Words are joined by AND; the upper-case words OR and NOT between words are operators, and an
         operator without its operands makes the query empty. A word with an underscore is a phrase of its
-        parts; the parts must all occur and are checked as a phrase. ``keep`` (ids) filters after
-        the statistics. Ties go to the smaller id.
+        parts and is counted as one term. With ``prefix`` every word stands for all that begin with it.
+        ``keep`` (ids) filters after the statistics. Ties go to the smaller id.
         """
         spark = self.docs.sparkSession
         parsed = [(no, g) for no, text in queries if (g := parse_query(text, porter if self.stemmed else str))]
-        phrases = [(no, k, p) for no, groups in parsed for k, g in enumerate(groups) for p in g["all"] if len(p) > 1]
-        rows = [(no, k, t, sign) for no, groups in parsed for k, g in enumerate(groups) for sign, ps in ((True, g["all"]), (False, g["none"])) for p in ps for t in p]
+        terms = lambda p: p if prefix else (" ".join(p),)
+        rows = [(no, k, t, sign) for no, groups in parsed for k, g in enumerate(groups) for sign, ps in ((True, g["all"]), (False, g["none"])) for p in ps for t in terms(p)]
         if not rows:
             return spark.createDataFrame([], "query_no int, id bigint, score double, rank int")
         plan = spark.createDataFrame(rows, "query_no int, grp int, q_term string, wanted boolean").distinct()
         need = plan.where("wanted").groupBy("query_no", "grp").agg(F.countDistinct("q_term").alias("need"))
-        post = self._postings(sorted({r[2] for r in rows}), prefix)
+        wanted = sorted({r[2] for r in rows})
+        post = self._postings(sorted({w for t in wanted for w in t.split()}), prefix)
+        if phrases := [t for t in wanted if " " in t]:
+            post = post.where(F.col("q_term").isin(*wanted)).unionByName(self._phrases(post, phrases))
         if self._sizes is None:
             self._sizes = self._lengths().agg(F.count(F.lit(1)), F.avg("dl")).first()
         n_docs, mean = self._sizes
@@ -91,31 +94,27 @@ class TextIndex:
             F.sum(F.when(F.col("wanted"), part)).alias("s"), F.countDistinct(F.when(F.col("wanted"), F.col("q_term"))).alias("have"),
             F.max(F.when(~F.col("wanted"), F.lit(1)).otherwise(0)).alias("bad"))
         got = got.join(F.broadcast(need), ["query_no", "grp"]).where("have = need AND bad = 0")
-        if phrases and not prefix:
-            got = self._phrases(got, phrases)
         got = got.groupBy("query_no", "id").agg((-F.sum("s")).alias("score"))
         if keep is not None:
             got = got.join(keep, "id", "left_semi")
         rank = F.row_number().over(W.partitionBy("query_no").orderBy(F.round("score", 9), "id"))
         return got.withColumn("rank", rank).where(F.col("rank") <= limit)
 
-    def _phrases(self, got: DataFrame, phrases) -> DataFrame:
-        rows = pd.DataFrame(phrases, columns=["query_no", "grp", "parts"])
-        stemmed = self.stemmed
-        by = {(int(a), int(b)): g["parts"].tolist() for (a, b), g in rows.groupby(["query_no", "grp"])}
+    def _phrases(self, post: DataFrame, phrases: list[str]) -> DataFrame:
+        """Postings of phrases: how often each occurs in the documents that have all its words."""
+        spark, stemmed = self.docs.sparkSession, self.stemmed
+        parts = spark.createDataFrame([(p, w, len(set(p.split()))) for p in phrases for w in set(p.split())], "phrase string, q_term string, need int")
+        all_ = post.join(F.broadcast(parts), "q_term").groupBy("phrase", "need", "id").agg(F.count(F.lit(1)).alias("have")).where("have = need")
 
-        @F.pandas_udf("boolean")
-        def holds(no: pd.Series, grp: pd.Series, w: pd.Series) -> pd.Series:
-            def one(a, b, words):
-                ps = by.get((a, b))
-                if not ps:
-                    return True
-                s = [porter(x) for x in words] if stemmed else list(words)
-                return all(any(s[i : i + len(p)] == list(p) for i in range(len(s))) for p in ps)
+        @F.pandas_udf("bigint")
+        def times(phrase: pd.Series, w: pd.Series) -> pd.Series:
+            def one(p, words):
+                p, s = p.split(), [porter(x) for x in words] if stemmed else list(words)
+                return sum(s[i : i + len(p)] == p for i in range(len(s)))
 
-            return pd.Series([one(*x) for x in zip(no, grp, w)], dtype="bool")
+            return pd.Series([one(*x) for x in zip(phrase, w)], dtype="int64")
 
-        return got.join(self.docs, "id").where(holds("query_no", "grp", "w")).drop("w")
+        return all_.join(self.docs, "id").select(F.col("phrase").alias("q_term"), "id", times("phrase", "w").alias("tf")).where("tf > 0")
 
 
 def parse_query(text: str, norm) -> list[dict] | None:

@@ -19,8 +19,8 @@ def suffix_of(path: Column) -> Column:
 def language(path: Column) -> Column:
     """The language of a path by name or lower-cased suffix."""
     name = F.regexp_extract(path, r"([^/]*)$", 1)
-    table = F.create_map(*[F.lit(x) for kv in {**LANGUAGE_OF, **LANGUAGE_OF_NAME}.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, name), F.try_element_at(table, F.lower(suffix_of(path))))
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    return F.coalesce(F.try_element_at(table(LANGUAGE_OF_NAME), name), F.try_element_at(table(LANGUAGE_OF), F.lower(suffix_of(path))))
 
 
 def glob_regex(pattern: str) -> tuple[str, bool]:
@@ -83,14 +83,36 @@ def wanted(path: Column, length: Column, ignore: list[str] | None = None, max_kb
     return ~F.lower(suffix_of(path)).isin(*[x.lower() for x in BINARY_SUFFIXES]) & (name != ".DS_Store") & ~hidden & ~ignored(path, DEFAULT_IGNORE if ignore is None else ignore) & (length <= max_kb * 1024)
 
 
+def _file_system(root: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+
+
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, max_kb: int = 500) -> DataFrame:
-    """``file_path, length, file_hash, text`` of the wanted files below ``root``; the filters on path
-    and length come before any content is read."""
-    root = root.rstrip("/")
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace("path", rf"^file:/*{re.escape(root)}/|^{re.escape(root)}/", "")
-    df = df.withColumn("file_path", rel).where(wanted(F.col("file_path"), F.col("length"), ignore, max_kb))
-    return df.select("file_path", "length", F.md5("content").alias("file_hash"), decode_text("content").alias("text"))
+    """``file_path, length, file_hash, text`` of the wanted files below ``root``.
+
+    The listing holds names and sizes only; Spark's own would leave out names that begin with a dot
+    or an underscore. Paths and sizes are filtered before executors read any content.
+    """
+    from pyarrow import fs
+
+    system, base = _file_system(root.rstrip("/"))
+    listed = [(i.path, i.path[len(base) :].lstrip("/"), i.size) for i in system.get_file_info(fs.FileSelector(base, recursive=True)) if i.type == fs.FileType.File]
+    df = spark.createDataFrame(listed, "path string, file_path string, length bigint")
+    df = df.where(wanted(F.col("file_path"), F.col("length"), ignore, max_kb)).repartition(max(1, min(10_000, len(listed) // 200)))
+
+    def read(batches):
+        own = _file_system(root)[0]
+        for pdf in batches:
+            raw = []
+            for p in pdf["path"]:
+                with own.open_input_stream(p) as f:
+                    raw.append(f.read())
+            yield pd.DataFrame({"file_path": pdf["file_path"], "length": pdf["length"], "content": raw})
+
+    got = df.mapInPandas(read, "file_path string, length bigint, content binary")
+    return got.select("file_path", "length", F.md5("content").alias("file_hash"), decode_text("content").alias("text"))
 
 
 @F.pandas_udf(StringType())
