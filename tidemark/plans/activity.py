@@ -237,7 +237,7 @@ _CROSS = GIT_SQL + """, ch AS (SELECT file_path, count(DISTINCT hash) churn, sum
 ev AS (SELECT CAST(floor((user_id * 13 + event_id % 3) / 4) AS BIGINT) % 200 n, ts FROM events WHERE event_type IN ('view', 'purchase')),
 rd AS (SELECT concat('d', n % 7, '/f', n, '.md') file_path, count(DISTINCT CAST(ts AS DATE)) reads FROM ev GROUP BY 1),
 x AS (SELECT coalesce(ch.file_path, rd.file_path) file_path, coalesce(churn, 0) churn, coalesce(reads, 0) reads, CAST(coalesce(lines_changed, 0) AS BIGINT) lines_changed
-  FROM ch FULL JOIN rd ON ch.file_path = rd.file_path ORDER BY churn + reads DESC, 1 LIMIT 50)
+  FROM ch FULL JOIN rd ON ch.file_path = rd.file_path ORDER BY coalesce(ch.churn, 0) + coalesce(rd.reads, 0) DESC, 1 LIMIT 50)
 """
 _QUART = "(SELECT CASE WHEN n < 4 THEN mx ELSE (l[lo] * (4 - (pos - 4 * lo)) + l[lo + 1] * (pos - 4 * lo)) / 4.0 END FROM (SELECT *, least(greatest(pos // 4, 1), n - 1) lo FROM (SELECT list_sort(list({c})) l, count(*) n, max({c}) mx, (count(*) + 1) * 3 pos FROM x)))"
 SQL = {

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import chunking, graph, search, trace
 from tidemark.operators.search import TextIndex
+from tidemark.plans import edge_sql
 from tidemark.plans.activity import AS_OF
 from tidemark.sources import files, html
 from tidemark.sources.tables import table
@@ -330,7 +331,6 @@ _SNIP = "CASE WHEN len(string_split(content, chr(10))) > 10 THEN concat(array_to
 _USABLE = "SELECT id, embedding::DOUBLE[] v FROM chunks_vec WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
 _SEM = f"""SELECT source_id, target_id, 'semantic' edge_type, round(1 - d * d / 2, 4) weight FROM (SELECT a.id source_id, b.id target_id, list_distance(a.v, b.v) d,
   row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.v, b.v) * list_distance(a.v, b.v), 9), b.id) place FROM u a, u b WHERE a.id % 100 = 0) WHERE place <= 20 AND source_id <> target_id AND round(1 - d * d / 2, 9) >= 0.75"""
-_FOLDER = "CASE WHEN contains(file_path, '/') THEN regexp_replace(file_path, '/[^/]*$', '') ELSE '.' END"
 _TAGS = "WITH m AS (SELECT id, project_id, file_path, list_distinct(from_json(json_extract(metadata, '$.{k}'), '[\"VARCHAR\"]')) v FROM chunks WHERE json_extract(metadata, '$.{k}') IS NOT NULL)"
 _SAME = "a.project_id = b.project_id AND a.file_path = b.file_path AND a.id < b.id"
 _PAGERANK = """WITH RECURSIVE e0 AS (SELECT source_id s, target_id t, sum(coalesce(weight, 1.0)) w FROM edges GROUP BY ALL), e AS (SELECT s, t, w / sum(w) OVER (PARTITION BY s) p FROM e0),
@@ -348,6 +348,7 @@ def _pagerank_sql(rounds: int) -> str:
 
 
 SQL = {
+    **edge_sql.SQL,
     "bm25_search": _bm25(PLAIN) + "SELECT query_no, id, round(score, 6) score, rank FROM bm",
     "bm25_filtered": _bm25(PLAIN, keep=SCOPE) + "SELECT query_no, id, round(score, 6) score, rank FROM bm",
     "prefix_search": _bm25([(1, "tokeniz"), (2, "lock regis")], match="starts_with(p.w, q.t)") + "SELECT query_no, id, round(score, 6) score, rank FROM bm",
