@@ -30,7 +30,9 @@ def fold(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Runs of letters and digits of the folded text."""
-    return F.regexp_extract_all(fold(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    # Only words with letters beyond ASCII go through the table.
+    return F.transform(words, lambda w: F.when(w.rlike(r"[^\x00-\x7F]"), F.translate(w, ACCENTED, PLAIN)).otherwise(w))
 
 
 def sanitize_query(c: Column) -> Column:
