@@ -26,7 +26,8 @@ class TextIndex:
 
     def __init__(self, docs: DataFrame, id_col: str = "id", text_col: str = "content", stemmed: bool = True):
         self.stemmed = stemmed
-        self.docs = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
+        self.raw = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        self.docs = self.raw.select("id", tokens(F.col("text")).alias("w"))
         self._kept: tuple[DataFrame, DataFrame] | None = None
         self._sizes = None
 
@@ -79,6 +80,8 @@ class TextIndex:
         need = plan.where("wanted").groupBy("query_no", "grp").agg(F.countDistinct("q_term").alias("need"))
         wanted = sorted({r[2] for r in rows})
         post = self._postings(sorted({w for t in wanted for w in t.split()}), prefix)
+        if self._kept:  # hits are read three times: as parts of phrases, for frequencies, for scores
+            post = written(post, "hits")
         if phrases := [t for t in wanted if " " in t]:
             post = post.where(F.col("q_term").isin(*wanted)).unionByName(self._phrases(post, phrases))
         if self._sizes is None:
@@ -114,7 +117,7 @@ class TextIndex:
 
             return pd.Series([one(*x) for x in zip(phrase, w)], dtype="int64")
 
-        return all_.join(self.docs, "id").select(F.col("phrase").alias("q_term"), "id", times("phrase", "w").alias("tf")).where("tf > 0")
+        return all_.join(self.raw, "id").select(F.col("phrase").alias("q_term"), "id", times("phrase", tokens(F.col("text"))).alias("tf")).where("tf > 0")
 
 
 def parse_query(text: str, norm) -> list[dict] | None:
