@@ -181,6 +181,32 @@ def test_near_duplicates_dense_family(spark):
     assert got == brute_pairs(texts)
 
 
+@pytest.mark.parametrize("second", [False, True])
+@pytest.mark.parametrize("sizes", [(40, 500, 5), (40, 130, 1), (200,), (1,) * 160 + (3,), (150, 1)])
+def test_near_duplicates_key_beyond_held(spark, monkeypatch, second, sizes):
+    """Every row of a key that does not fit in memory is dense, wherever the flushes fall."""
+    monkeypatch.setattr(neardup, "HELD", 100)
+    depth, length = (neardup.SECOND, neardup.SECOND + 2) if second else (neardup.FIRST, neardup.FIRST + 2)
+    cols = neardup._label_columns(0, length, second)
+    rows = []
+    for label, n in enumerate(sizes):
+        for _ in range(n):
+            sig = np.zeros(neardup.N_PERM, np.uint16)
+            sig[cols[depth:]] = label
+            rows.append((len(rows), 10, sig.tobytes()))
+    few = len(rows)
+    for other in range(1, 40):  # keys of two rows
+        sig = np.full(neardup.N_PERM, other, np.uint16)
+        rows += [(len(rows), 10, sig.tobytes()), (len(rows) + 1, 10, sig.tobytes())]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "60")
+    try:
+        got = neardup._forest(spark.createDataFrame(rows, "id bigint, n int, sig binary").coalesce(1), 0.6, depth, 1, length, 10, second).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    assert {r.a for r in got if r.dense} == set(range(few))
+    assert {(r.a, r.b) for r in got if not r.dense and r.a >= few} == {(i, i + 1) for i in range(few, len(rows), 2)}
+
+
 def test_near_duplicates_empty(spark):
     df = spark.createDataFrame([], "id bigint, body string")
     nd = neardup.NearDuplicates(df, "id", "body")

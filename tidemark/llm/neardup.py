@@ -149,18 +149,20 @@ def _forest(sigs: DataFrame, threshold: float, depth: int, trees: int, length: i
     def descend(batches):
         """Rows come sorted by key and rest; runs of one key may span batches."""
         held: list[pd.DataFrame] = []
+        hot = None  # the key of ``held`` if rows of it were let go of before
 
-        def done(pdf, parts=False):
+        def done(pdf, hot):
             key, rest = pdf["key"].to_numpy(), pdf["rest"].to_numpy()
             run = {"id": pdf["id"].to_numpy(), "n": pdf["n"].to_numpy(), "sk": np.ascontiguousarray(pdf[["s1", "s2"]].to_numpy()).view(np.uint64)}
             left, right = [], []
             edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             size = np.diff(edges)
-            for s in np.flatnonzero(size > 1):
+            whole = np.array([k != hot for k in key[edges[:-1]].tolist()])  # all rows of the key are here
+            for s in np.flatnonzero((size > 1) | ~whole):
                 stack = [(edges[s], edges[s + 1], length - depth)]
                 while stack:
                     lo, hi, open_ = stack.pop()
-                    if hi - lo <= dense and not (parts and open_ == length - depth):
+                    if hi - lo <= dense and (whole[s] or open_ < length - depth):
                         a, b = _pairs_of(run, lo, hi, need, threshold)
                         left.append(a), right.append(b)
                         continue
@@ -180,18 +182,17 @@ def _forest(sigs: DataFrame, threshold: float, depth: int, trees: int, length: i
             last = pdf["key"].iloc[-1]
             if held and held[0]["key"].iloc[0] == last:
                 held.append(pdf)
-                if sum(map(len, held)) > HELD:  # one key: let go of all but its last label
-                    whole = pd.concat(held)
-                    tail = whole["rest"].to_numpy() == whole["rest"].iloc[-1]
-                    yield from done(whole if tail.all() else whole[~tail], True)
-                    # A label with so many rows stays dense; a few of them stand for it in what follows.
-                    held = [whole[tail].head(dense + 1)]
+                if sum(map(len, held)) > HELD:  # one key: all rows so far are dense, as are those to come
+                    rows, hot = pd.concat(held), last
+                    yield from done(rows, hot)
+                    # Of the last label, which may go on, a few rows stay to be paired with those to come.
+                    held = [rows[rows["rest"].to_numpy() == rows["rest"].iloc[-1]].head(dense + 1)]
                 continue
             tail = pdf["key"].to_numpy() == last
-            yield from done(pd.concat([*held, pdf[~tail]]))
-            held = [pdf[tail]]
+            yield from done(pd.concat([*held, pdf[~tail]]), hot)
+            held, hot = [pdf[tail]], None
         if held:
-            yield from done(pd.concat(held))
+            yield from done(pd.concat(held), hot)
 
     rows = sigs.mapInPandas(enter, "key bigint, rest bigint, id bigint, n int, s1 bigint, s2 bigint")
     rows = rows.repartition("key").sortWithinPartitions("key", "rest", "id")
