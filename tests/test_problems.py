@@ -193,6 +193,39 @@ def test_commit_changes(spark):
     assert got == {("p", "eeee"), ("q", "1111"), ("r", "77")}
 
 
+def test_pending_items_in_runs(spark):
+    """Late and equal times, a mark that comes late, a file that is changed back, and a run that breaks
+    off: after each run the result is that of one pass over all that has arrived."""
+    C = "project_id string, hash string, timestamp bigint"
+    S = "project_id string, file_path string, file_hash string, scanned_at timestamp_ntz"
+    index = spark.createDataFrame([("p", "a.md", "aa", T0), ("p", "b.md", "bb", T0)], FILES).withColumnRenamed("t", "last_indexed")
+    projects = spark.createDataFrame([("p", "abd"), ("q", None)], "id string, last_indexed_commit string")
+    commits = [
+        [("p", "abc1", 10), ("p", "ffff", 30), ("q", "1111", 500), (None, "9999", 5)],
+        [("p", "eeee", 30), ("p", "late", 20), ("q", "2222", 500), ("q", "3333", 1), ("p", "ffff", 30)],
+        [("p", "abd2", 15), ("q", "4444", None), (None, "8888", 5)]]
+    scans = [
+        [("p", "./a.md", "xx", T0), ("p", "b.md", "bb", T0), ("q", "new.md", "11", T0 + 60 * MIN)],
+        [("p", "a.md", "AA", T0 + MIN), ("p", "b.md", "cc", T0 - MIN), ("q", "late.md", "22", T0 - 60 * MIN), ("q", "same.md", "33", T0 + 60 * MIN), (None, "n.md", "44", T0)],
+        [("p", "b.md", "dd", T0 + MIN), ("p", "c.md", "", T0)]]
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    of = lambda df: sorted(map(str, df.select("item_kind", "project_id", "item_key", "change").collect()))
+    a_scan = inc.Arrivals(spark, shared_path(spark, "s"), make([], S).schema)
+    a_commits = inc.Arrivals(spark, shared_path(spark, "c"), make([], C).schema)
+    job = inc.pending_items(spark, shared_path(spark, "p7"), a_scan, a_commits, index, projects)
+    job.run()
+    assert of(job.result()) == []
+    for k in range(3):
+        a_scan.add(make(scans[k], S)), a_commits.add(make(commits[k], C))
+        if k == 1:
+            with pytest.raises(RuntimeError):
+                job.run(fail_before_commit=True)
+        job.run()
+        job.run()
+        once = inc.file_changes(make(sum(scans[: k + 1], []), S), index).drop("time_us").unionByName(inc.commit_changes(make(sum(commits[: k + 1], []), C), projects).drop("time_us"))
+        assert of(job.result()) == of(once), k
+
+
 def test_components(spark):
     import random
 

@@ -12,6 +12,8 @@ KINDS = ["read", "edit", "search_hit"]
 EVENT = ("project_id", "timestamp", "interaction", ["chunk_id", "file_path", "source_tool"])
 #: Arrival batches that the session table is built from.
 BATCHES = 4
+#: Arrivals of scan records and commits, each followed by a run.
+ARRIVALS = 2
 
 
 def _reference_tables(spark, d):
@@ -74,13 +76,16 @@ def p6_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Files and commits that the last successful run has not covered."""
-    pending = inc.file_changes(table(spark, d, "file_scan"), table(spark, d, "file_index")).unionByName(
-        inc.commit_changes(table(spark, d, "git_commits"), table(spark, d, "projects")))
-    job = inc.IncrementalJob(spark, shared_path(spark, "incremental"))
-    out = ["item_kind", "project_id", "item_key", "change"]
-    job.run(pending, "seq", lambda due: due.select(*out))
-    return job.output(pending.select(*out).schema)
+    """Files and commits that the last successful run has not covered, by a run after each of several
+    arrivals. Records of one file, and commits of one project, arrive in any order of their times."""
+    scan, commits = table(spark, d, "file_scan"), table(spark, d, "git_commits")
+    arrivals = {n: inc.Arrivals(spark, shared_path(spark, f"arrived-{n}"), df.schema) for n, df in (("files", scan), ("commits", commits))}
+    job = inc.pending_items(spark, shared_path(spark, "incremental"), arrivals["files"], arrivals["commits"], table(spark, d, "file_index"), table(spark, d, "projects"))
+    for k in range(ARRIVALS):
+        for n, df, key in (("files", scan, ["project_id", "file_path", "scanned_at"]), ("commits", commits, ["project_id", "hash"])):
+            arrivals[n].add(df.where(F.pmod(F.xxhash64(*key), F.lit(ARRIVALS)) == k))
+        job.run()
+    return job.result()
 
 
 _REFS_SQL = """
