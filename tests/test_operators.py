@@ -250,3 +250,18 @@ def test_entry_contract(spark):
 
     q, s = entry.queries(), entry.oracle_sql()
     assert set(s) <= set(q) and {f"p{n}_found" for n in (2, 6, 7)} <= set(q)
+
+
+def test_stream_state_over_many_batches(spark, tmp_path):
+    """Each batch touches a few keys only; the newest state of every key must come out."""
+    from tidemark.streaming import activity as streams
+
+    rows = [("p", "read", 0), ("q", "read", 1), ("p", "edit", 2), ("p", "read", 9), ("q", "edit", 4)]
+    for p, k, s in rows:
+        one = spark.createDataFrame([(p, k, NOW + dt.timedelta(seconds=s))], "project_id string, interaction string, timestamp timestamp_ntz")
+        one.coalesce(1).write.mode("append").parquet(str(tmp_path / "log.parquet"))
+    state = streams.first_and_last(streams.read_log(spark, str(tmp_path), "log", 1))
+    got = {(r.project_id, r.interaction): ((r.last_us - r.first_us) // 1_000_000, r.n) for r in streams.run_once(state, "update", "state", ["project_id", "interaction"]).collect()}
+    assert got == {("p", "read"): (9, 2), ("q", "read"): (0, 1), ("p", "edit"): (0, 1), ("q", "edit"): (0, 1)}
+    with pytest.raises(ValueError):
+        streams.run_once(state, "update", "state")

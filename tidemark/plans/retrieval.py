@@ -278,7 +278,7 @@ def stream_append(spark, d):
 
 def stream_state(spark, d):
     """First and last interaction per project and kind, kept as custom state; newest state per key."""
-    return streams.run_once(streams.first_and_last(streams.read_log(spark, d, "chunk_interactions", 1_000)), "update", "state")
+    return streams.run_once(streams.first_and_last(streams.read_log(spark, d, "chunk_interactions", 1_000)), "update", "state", ["project_id", "interaction"])
 
 
 QUERIES = {f.__name__: f for f in (

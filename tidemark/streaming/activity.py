@@ -7,6 +7,7 @@ import os
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.session import shared_path
 
@@ -20,22 +21,29 @@ def read_log(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int
     return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def run_once(df: DataFrame, mode: str, what: str) -> DataFrame:
+def run_once(df: DataFrame, mode: str, what: str, keys: list[str] | None = None) -> DataFrame:
     """Process everything that is there and return the sink's content. Complete results replace each
-    other; appended ones go to Parquet with a checkpoint, both in the shared folder."""
+    other; of updates, which a batch has only for what it touched, the newest row per ``keys`` counts;
+    appended ones go to Parquet with a checkpoint, both in the shared folder."""
+    if mode == "update" and not keys:
+        raise ValueError("updates need the keys of their rows")
     spark = df.sparkSession
     out, state = shared_path(spark, what), shared_path(spark, f"{what}-state")
     if mode == "append":
         df.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
     else:
         def put(batch: DataFrame, no: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/{no:06d}")
-            last.append(f"{out}/{no:06d}")
+            batch.write.mode("overwrite").parquet(f"{out}/batch_no={no}")
+            last.append(f"{out}/batch_no={no}")
 
         last: list[str] = []
         df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
         if not last:
             return spark.createDataFrame([], df.schema)
+        if mode == "update":
+            got = spark.read.schema(StructType([*df.schema, StructField("batch_no", LongType())])).parquet(out)
+            newest = got.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "batch_no").alias("newest"))
+            return newest.select("newest.*")
         out = last[-1]
     return spark.read.schema(df.schema).parquet(out)
 
