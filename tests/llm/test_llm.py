@@ -99,6 +99,28 @@ def test_markup_held_out():
     assert alike > 0.97
 
 
+def test_markup_features_see_whole_leaves_and_counts():
+    w0 = markup.N_FEATURES - markup.N_WORDS
+    start = "word " * 60
+    a, b = (markup.features(markup.leaves(start + end))[0] for end in ("begin apply route", "alpha quota zebra"))
+    assert (a[w0:] != b[w0:]).any() and abs(a[w0:].sum() - 4) < 1e-3 and abs(b[w0:].sum() - 4) < 1e-3
+    a, b = (markup.features(markup.leaves(MD_LINE * n + WIKI_LINE * (16 - n)))[-1] for n in (5, 11))
+    here = slice(len(markup.KINDS) + markup.N_CUES + markup.N_SIGNS, w0 - 5)
+    assert (a[here] != b[here]).any()
+
+
+MD_LINE = "See [a](http://b.example/c) and **b** here.\n\n"
+WIKI_LINE = "See '''a''' and [[b|c]] here.\n\n"
+
+
+@pytest.mark.parametrize("n_md", [5, 7, 9, 11])
+def test_markup_shared_notation_goes_to_the_greater_part(n_md):
+    for text in (MD_LINE * n_md + WIKI_LINE * (16 - n_md), WIKI_LINE * (16 - n_md) + MD_LINE * n_md):
+        doc = markup.leaves(text + "* one\n* two")
+        (got,) = markup.label(markup.network(), [doc])
+        assert {x for x in set().union(*got) if x[1] == "list"} == {("markdown" if n_md > 8 else "wiki", "list")}
+
+
 def test_markup_clean_and_operator(spark):
     text = "## Head\r\n\r\nA **bold** word and `code`.\r\n\r\n- one\r\n- two\r\n\r\n```\r\nx = 1\r\n```"
     df = spark.createDataFrame([(1, text, "a"), (2, None, "b"), (3, "", "c"), (4, text, "d"), (5, "x " * 200_000, "e")], "id bigint, body string, found string")

@@ -224,7 +224,9 @@ def _mark_indented(found: list[Leaf]) -> list[Leaf]:
 N_WORDS = 48
 N_CUES = len(LABELS)
 N_SIGNS = len(SIGNS)
-N_FEATURES = len(KINDS) + N_CUES + 2 * N_SIGNS + 5 + N_WORDS
+#: Pairs of languages of which a leaf sees which has more signs in the document.
+RIVALS = [(a, b) for a in range(N_SIGNS) for b in range(a)]
+N_FEATURES = len(KINDS) + N_CUES + 3 * N_SIGNS + len(RIVALS) + 5 + N_WORDS
 _kind_no = {k: i for i, k in enumerate(KINDS)}
 _word = re.compile(r"[A-Za-z]{2,}")
 _hash_cache: dict[str, int] = {}
@@ -241,15 +243,16 @@ def _bucket(w: str) -> int:
 
 def features(found: list[Leaf]) -> np.ndarray:
     """One row per leaf: tag path, notations that occur, signs of each language here and in the whole
-    document, position, hashed words."""
+    document (shares, logarithms, which of two has more), position, all words hashed."""
     x = np.zeros((len(found), N_FEATURES), np.float32)
     k0 = len(KINDS)
     s0 = k0 + N_CUES
-    p0 = s0 + 2 * N_SIGNS
+    p0 = s0 + 3 * N_SIGNS + len(RIVALS)
     w0 = p0 + 5
     total = np.zeros(N_SIGNS, np.float32)
     hits_row: list[int] = []
     hits_word: list[int] = []
+    hits_weight: list[float] = []
     for i, leaf in enumerate(found):
         row = x[i]
         row[_kind_no[leaf.kind]] = 1
@@ -275,12 +278,14 @@ def features(found: list[Leaf]) -> np.ndarray:
         row[p0 + 2] = min(len(t), 400) / 400
         row[p0 + 3] = t[:1] in " \t"
         row[p0 + 4] = i > 0 and found[i - 1].kind == "blank"
-        for w in _word.findall(t[:200].lower())[:16]:
-            hits_row.append(i)
-            hits_word.append(_bucket(w))
+        words = _word.findall(t.lower())
+        hits_row += [i] * len(words)
+        hits_word += map(_bucket, words)
+        hits_weight += [4 / max(16, len(words))] * len(words)  # a long leaf weighs no more than 16 words
     if hits_row:
-        np.add.at(x, (hits_row, np.add(hits_word, w0)), np.float32(0.25))
-    x[:, s0 + N_SIGNS : p0] = np.minimum(total, 4) / 4
+        np.add.at(x, (hits_row, np.add(hits_word, w0)), np.array(hits_weight, np.float32))
+    more = [np.sign(total[a] - total[b]) for a, b in RIVALS]
+    x[:, s0 + N_SIGNS : p0] = np.concatenate([total / max(1, total.sum()), np.log1p(total) / 4, more])
     return x
 
 
