@@ -240,7 +240,9 @@ def test_config(tmp_path):
 
 def test_html_and_urls(spark):
     page = "<html><head><title>T</title><style>x</style></head><body><nav>menu</nav><p>One &amp; two</p><script>var a</script><li>three</li>  <br>four<footer>f</footer></body></html>"
-    assert html.page_text(page) == "TOne & two\nthree\nfour" and html.page_text("") == "" and html.page_text(None) is None
+    more = "a<nav><p>x</p> y</header>b <!-- <p> --> <a title='1 > 0'>c</a>\n  3 &lt; 4<script>if (a<b) '</p>'</script >d<header/>e"
+    texts = [r[0] for r in spark.createDataFrame([(page,), ("",), (None,), (more,), ("<script>x",)], "p string").select(html.html_text("p")).collect()]
+    assert texts == ["TOne & two\nthree\nfour", "", None, "a\nb  c\n3 < 4d", ""]
     u = spark.createDataFrame([("https://docs.example.org:8080/a/b?q=1",), ("ftp://x/y",), ("http://a.b",)], "u string")
     assert [tuple(r) for r in u.select(html.url_project(F.col("u")), html.url_path(F.col("u"))).collect()] == [("docs-example-org:8080", "/a/b"), (None, "/y"), ("a-b", "/")]
 

@@ -18,12 +18,15 @@ def parse_numstat(df: DataFrame, line: str = "line") -> DataFrame:
     cols = F.split(F.col(line), "\t", 3)
     ins, dels, path = cols[0], cols[1], F.get(cols, F.lit(2))
     binary = (ins == "-") & (dels == "-")
-    brace = r"^(.*)\{(.*) => (.*)\}(.*)$"
-    part = lambda k: F.trim(F.regexp_extract(path, brace, k))
-    is_brace, is_plain = path.rlike(brace), path.contains(" => ")
-    side = lambda k: F.concat(F.regexp_extract(path, brace, 1), part(k), F.regexp_extract(path, brace, 4))
-    old = F.when(is_brace, side(2)).when(is_plain, F.trim(F.substring_index(path, " => ", 1)))
-    new = F.when(is_brace, side(3)).when(is_plain, F.trim(F.regexp_replace(path, r"^.*? => ", ""))).otherwise(path)
+    # A rename is written "old => new", or "common{old => new}common" where both paths share a part.
+    arrow = F.instr(path, " => ")
+    opened, closed = F.instr(F.substring_index(path, " => ", 1), "{"), F.instr(F.substr(path, arrow), "}")
+    is_brace = (arrow > 0) & (opened > 0) & (closed > 0)
+    is_plain = (arrow > 0) & ~is_brace
+    common = lambda c: F.concat(F.substr(path, F.lit(1), opened - 1), F.trim(c), F.substr(path, arrow + closed))
+    left, right = F.substr(path, F.lit(1), arrow - 1), F.substr(path, arrow + 4)
+    old = F.when(is_brace, common(F.substr(left, opened + 1))).when(is_plain, F.trim(left))
+    new = F.when(is_brace, common(F.substring_index(right, "}", 1))).when(is_plain, F.trim(right)).otherwise(path)
     number = lambda c: F.when(~binary, c.try_cast("bigint"))
     good = (F.size(cols) == 3) & (binary | (ins.rlike(r"^\d+$") & dels.rlike(r"^\d+$")))
     return df.where(good).withColumns({

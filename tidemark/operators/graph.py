@@ -62,20 +62,31 @@ def category_edges(chunks: DataFrame) -> DataFrame:
     return a.join(b, same).select(F.col("a.id").alias("source_id"), F.col("b.id").alias("target_id"), F.lit("category").alias("edge_type"), F.lit(1.0).alias("weight")).distinct()
 
 
-PY_IMPORT = r"(?m)^(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))"
-JS_IMPORT = r"(?:import\s+[^\n]*?\s+from\s+['\"]([^'\"]+)['\"]|require\s*\(\s*['\"]([^'\"]+)['\"]\s*\))"
 #: The suffixes tried for a script import without one.
 JS_SUFFIXES = (".ts", ".tsx", ".js", ".jsx")
 
 
+def python_modules(text: Column) -> Column:
+    """The modules that import statements at the start of a line name, one per statement."""
+    words = F.transform(F.split(text, r"\r?\n", -1), lambda line: F.split(line, r"\s+", 4))
+    third = lambda w: F.coalesce(F.get(w, F.lit(2)), F.lit(""))
+    named = F.filter(words, lambda w: (F.size(w) > 1) & ((w[0] == "import") | ((w[0] == "from") & (third(w) == "import"))))
+    return F.filter(F.transform(named, lambda w: F.regexp_extract(w[1], r"^[\p{L}\p{N}_.]+", 0)), lambda m: m != "")
+
+
+def script_paths(text: Column) -> Column:
+    """The relative paths that a script imports or requires."""
+    statements = F.filter(F.split(text, r"\r?\n", -1), lambda line: line.rlike(r"\bimport\s.*\sfrom\s|\brequire\s*\("))
+    quoted = F.flatten(F.transform(statements, lambda line: F.regexp_extract_all(line, F.lit(r"(?:\sfrom\s+|\brequire\s*\(\s*)[\"'](\.[^\"']*)[\"']"), F.lit(1))))
+    return quoted
+
+
 def import_targets(chunks: DataFrame) -> DataFrame:
     """``source_id, project_id, path``: the files that imports of code chunks may name."""
-    code = chunks.where("chunk_domain = 'code'").select(F.col("id").alias("source_id"), "project_id", folder_of(F.col("file_path")).alias("dir"), "content")
-    both = lambda p: F.transform(F.arrays_zip(F.regexp_extract_all("content", F.lit(p), F.lit(1)).alias("a"), F.regexp_extract_all("content", F.lit(p), F.lit(2)).alias("b")), lambda x: F.when(x["a"] != "", x["a"]).otherwise(x["b"]))
-    py = code.select("source_id", "project_id", "dir", F.explode(both(PY_IMPORT)).alias("m"))
-    py = py.select("source_id", "project_id", joined_path(F.col("dir"), F.concat(F.replace("m", F.lit("."), F.lit("/")), F.lit(".py"))).alias("path"))
-    js = code.select("source_id", "project_id", "dir", F.explode(both(JS_IMPORT)).alias("m")).where(F.col("m").startswith("."))
-    js = js.select("source_id", "project_id", joined_path(F.col("dir"), F.col("m")).alias("path"))
+    code = chunks.where("chunk_domain = 'code'").select(F.col("id").alias("source_id"), "project_id", folder_of(F.col("file_path")).alias("dir"), F.col("content").alias("text"))
+    modules = code.select("source_id", "project_id", "dir", F.explode(python_modules(F.col("text"))).alias("m"))
+    py = modules.select("source_id", "project_id", joined_path(F.col("dir"), F.concat(F.replace("m", F.lit("."), F.lit("/")), F.lit(".py"))).alias("path"))
+    js = code.select("source_id", "project_id", "dir", F.explode(script_paths(F.col("text"))).alias("m")).select("source_id", "project_id", joined_path(F.col("dir"), F.col("m")).alias("path"))
     bare = ~F.col("path").rlike(r"[^/]\.[^./]+$")
     js = js.select("source_id", "project_id", F.explode(F.when(bare, F.array(*(F.concat("path", F.lit(s)) for s in JS_SUFFIXES))).otherwise(F.array("path"))).alias("path"))
     return py.unionByName(js)
