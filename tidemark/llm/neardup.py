@@ -2,15 +2,16 @@
 
 1. One pass turns each text into its set of word shingles, a signature of 16-bit minima and a
    128-bit sketch (the minima's lowest bits). Texts with equal sets become one representative.
-2. Every signature is entered into ``trees`` sorted tries: rows sorted by tree and label (successive
-   minima). Neighbours in that order share the longest prefixes. Matches are first taken at full
-   label length and then at ever shorter prefixes, down to the depth at which
-   ``1 - (1 - threshold ** depth) ** trees`` reaches the target recall.
+2. Every signature is entered into ``TREES`` sorted tries: rows sorted by tree and label (``LABEL``
+   successive minima). Neighbours in that order share the longest prefixes. Matches are first taken
+   at full label length and then at ever shorter prefixes, each step adding the pairs that the longer
+   one did not have, until a pair at the threshold is found with the target recall.
 3. A prefix shared by more than ``dense`` rows is not shortened further there. Its members, and only
-   they, go to a second forest with longer labels and as many trees as the target needs at that
-   depth; what is still dense in it is compared block by block in separate tasks, so nothing is
-   dropped. Pairs whose sketches are further apart than a pair at the threshold gets (four standard
-   deviations) are not passed on.
+   they, go to a second forest with longer labels and as many trees as the target needs at the depth
+   that it stops at; what is still dense in it is compared block by block in separate tasks, so
+   nothing is dropped. Each forest is given half of the loss that the target allows. Pairs whose
+   sketches are further apart than a pair at the threshold gets (four standard deviations) are not
+   passed on.
 4. Candidate pairs are verified on the full shingle sets, and copies are added to the result.
 """
 
@@ -25,11 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.components import components
+from tidemark.operators.skew import lookup
 from tidemark.session import written
 
 WORDS = re.compile(r"[^\W_]+")
 N_PERM = 128
-FIRST, SECOND = 3, 6
+#: Tries of the first forest and minima of a label; together at most N_PERM, so that tries are independent.
+TREES, LABEL = 25, 5
+#: Minima of a label of the second forest, and the prefix that it is shortened to.
+LABEL2, DEPTH2 = 8, 6
 #: Rows that a broadcast of candidate ids may have (8 bytes each); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 #: Rows of one key that a task keeps in memory.
@@ -100,15 +105,27 @@ def sketch_bits(sig: np.ndarray) -> np.ndarray:
     return np.packbits((sig & 1).astype(np.uint8), axis=1).view(np.int64)
 
 
+def depth_for(threshold: float, trees: int, label: int, recall: float) -> int:
+    """The length down to which labels must be shortened so that a pair at the threshold shares such a
+    prefix in one of ``trees`` independent tries with probability ``recall``; 1 if none is enough."""
+    return next((d for d in range(label, 1, -1) if 1 - (1 - threshold**d) ** trees >= recall), 1)
+
+
 def trees_for(threshold: float, depth: int, recall: float) -> int:
-    """Trees that reach ``recall`` for a pair at the threshold with prefixes of ``depth``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
+    """Tries that reach ``recall`` at ``depth`` if each draws its minima from the same N_PERM.
+
+    Of a pair at the threshold m minima agree, m binomial; given m, a drawn prefix agrees with
+    probability C(m, depth) / C(N_PERM, depth), independently of the others."""
+    m = range(N_PERM + 1)
+    share = np.array([math.comb(N_PERM, x) * threshold**x * (1 - threshold) ** (N_PERM - x) for x in m])
+    agree = np.array([math.comb(x, depth) / math.comb(N_PERM, depth) for x in m])
+    return next(t for t in range(1, 100_000) if (share * (1 - (1 - agree) ** t)).sum() >= recall)
 
 
 def _label_columns(tree: int, length: int, second: bool) -> np.ndarray:
-    if not second and (tree + 1) * length <= N_PERM:
+    if not second:
         return np.arange(tree * length, (tree + 1) * length)
-    return np.random.default_rng(7919 * (tree + 1) + second).choice(N_PERM, length, replace=False)
+    return np.random.default_rng(7919 * (tree + 1)).choice(N_PERM, length, replace=False)
 
 
 def _sketch(min_sim: float) -> int:
@@ -116,15 +133,6 @@ def _sketch(min_sim: float) -> int:
     return math.floor(N_PERM * p - 4 * math.sqrt(N_PERM * p * (1 - p)))
 
 
-def _pairs_of(run: dict, lo: int, hi: int, need: int, ratio: float):
-    """Pairs of rows ``lo:hi`` that sketch and size do not rule out."""
-    ids, sk, n = run["id"][lo:hi], run["sk"][lo:hi], run["n"][lo:hi]
-    a, b = np.triu_indices(hi - lo, 1)
-    same = N_PERM - (np.bitwise_count(sk[a, 0] ^ sk[b, 0]).astype(np.int16) + np.bitwise_count(sk[a, 1] ^ sk[b, 1]))
-    ok = (same >= need) & (np.minimum(n[a], n[b]) >= ratio * np.maximum(n[a], n[b])) & (ids[a] != ids[b])
-    return ids[a[ok]], ids[b[ok]]
-
-
 def _forest(sigs: DataFrame, threshold: float, depth: int, trees: int, length: int, dense: int, second: bool) -> DataFrame:
     """``a, b`` candidates, and ``a, null`` for members of dense prefixes. ``sigs``: id, n, sig."""
     cols = [_label_columns(t, length, second) for t in range(trees)]
@@ -152,29 +160,31 @@ def _forest(sigs: DataFrame, threshold: float, depth: int, trees: int, length: i
         hot = None  # the key of ``held`` if rows of it were let go of before
 
         def done(pdf, hot):
-            key, rest = pdf["key"].to_numpy(), pdf["rest"].to_numpy()
-            run = {"id": pdf["id"].to_numpy(), "n": pdf["n"].to_numpy(), "sk": np.ascontiguousarray(pdf[["s1", "s2"]].to_numpy()).view(np.uint64)}
-            left, right = [], []
-            edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            size = np.diff(edges)
-            whole = np.array([k != hot for k in key[edges[:-1]].tolist()])  # all rows of the key are here
-            for s in np.flatnonzero((size > 1) | ~whole):
-                stack = [(edges[s], edges[s + 1], length - depth)]
-                while stack:
-                    lo, hi, open_ = stack.pop()
-                    if hi - lo <= dense and (whole[s] or open_ < length - depth):
-                        a, b = _pairs_of(run, lo, hi, need, threshold)
-                        left.append(a), right.append(b)
-                        continue
-                    left.append(run["id"][lo:hi]), right.append(np.full(hi - lo, -1))
-                    if open_:  # stay at the longer prefix here
-                        part = rest[lo:hi] >> (16 * (open_ - 1))
-                        at = lo + np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-                        stack += [(x, y, open_ - 1) for x, y in zip(at[:-1], at[1:]) if y - x > 1]
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                out = pd.DataFrame({"a": np.where(b < 0, a, np.minimum(a, b)), "b": np.where(b < 0, -1, np.maximum(a, b)), "dense": b < 0})
-                yield out.drop_duplicates()
+            key, rest, ids, n = (pdf[c].to_numpy() for c in ("key", "rest", "id", "n"))
+            sk = np.ascontiguousarray(pdf[["s1", "s2"]].to_numpy()).view(np.uint64)
+            out, crowded, longer = [], np.zeros(len(pdf), bool), None
+            for cut in range(length - depth + 1):  # minima cut off the full label
+                part = rest >> (16 * cut)
+                prefix = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+                size = np.bincount(prefix)[prefix]
+                # Of a key that was let go of before, not all rows are here.
+                stop = (size > dense) | ((key == hot) & (cut == length - depth) if hot is not None else False)
+                out.append((ids[stop & ~crowded], None))
+                crowded |= stop
+                at, step = np.flatnonzero((size > 1) & ~stop), 1
+                while len(at := at[at < len(pdf) - step]) and len(at := at[prefix[at] == prefix[at + step]]):
+                    a = at if longer is None else at[longer[at] != longer[at + step]]
+                    b = a + step
+                    same = N_PERM - (np.bitwise_count(sk[a, 0] ^ sk[b, 0]).astype(np.int16) + np.bitwise_count(sk[a, 1] ^ sk[b, 1]))
+                    ok = (same >= need) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])) & (ids[a] != ids[b])
+                    if ok.any():
+                        out.append((ids[a[ok]], ids[b[ok]]))
+                    step += 1
+                longer = prefix
+            a, b = np.concatenate([x for x, _ in out]), np.concatenate([np.full(len(x), -1) if y is None else y for x, y in out])
+            if len(a):
+                left = np.concatenate([np.full(len(x), y is None) for x, y in out])
+                yield pd.DataFrame({"a": np.where(left, a, np.minimum(a, b)), "b": np.where(left, -1, np.maximum(a, b)), "dense": left}).drop_duplicates()
 
         for pdf in batches:
             if not len(pdf):
@@ -283,20 +293,21 @@ class NearDuplicates:
         signed = written(self.texts.where("id IS NOT NULL AND text IS NOT NULL").mapInPandas(sign, "id bigint, n int, k1 bigint, k2 bigint, sig binary"), "signatures")
         key = signed.select("id", "n", "k1", "k2")
         rep = key.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-        # Only sets that occur more than once: (id, rep), without the representative itself.
-        self.copies = written(key.join(rep, ["k1", "k2", "n"]).select("id", "rep", "copies"), "copies")
+        # Only sets that occur more than once; one set may be that of a third of all rows.
+        self.copies = written(lookup(key, ["k1", "k2", "n"], rep).where("rep IS NOT NULL").select("id", "rep", "copies"), "copies")
         others = self.copies.where("id <> rep").select("id")
         self.signed = signed.select("id", "n", "sig").join(others, "id", "left_anti")
 
     def links(self) -> DataFrame:
         """``a, b, similarity`` between representatives (the smallest id of each group of copies)."""
-        trees = trees_for(self.threshold, FIRST, self.recall)
-        got = written(_forest(self.signed, self.threshold, FIRST, trees, FIRST + 2, self.dense, False), "candidates")
+        recall = (1 + self.recall) / 2
+        depth = depth_for(self.threshold, TREES, LABEL, recall)
+        got = written(_forest(self.signed, self.threshold, depth, TREES, LABEL, self.dense, False), "candidates")
         pairs = got.where("NOT dense").select("a", "b")
         crowd = got.where("dense").select(F.col("a").alias("id"))
         if not crowd.isEmpty():
             some = self.signed.join(crowd, "id", "left_semi")
-            more = written(_forest(some, self.threshold, SECOND, trees_for(self.threshold, SECOND, self.recall), SECOND + 2, self.dense, True), "candidates")
+            more = written(_forest(some, self.threshold, DEPTH2, trees_for(self.threshold, DEPTH2, recall), LABEL2, self.dense, True), "candidates")
             pairs = pairs.union(more.where("NOT dense").select("a", "b"))
             rest = more.where("dense").select(F.col("a").alias("id")).distinct()
             if not rest.isEmpty():
@@ -311,15 +322,21 @@ class NearDuplicates:
         """``id_a, id_b``: every pair of texts, copies included. Its size is that of the answer; use
         ``classes`` where groups of copies are large."""
         links = self.links().select("a", "b")
-        member = self.copies.select("rep", "id")
-        left = links.join(member.withColumnRenamed("rep", "a"), "a", "left").select(F.coalesce("id", "a").alias("x"), "b")
-        both = left.join(member.withColumnRenamed("rep", "b"), "b", "left").select("x", F.coalesce("id", "b").alias("y"))
-        # Large groups of copies are spread: one side salted, the other repeated.
-        salts = 32
-        big = F.col("copies") > 1000
-        p = self.copies.select("rep", F.col("id").alias("x"), F.when(big, F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(0).cast("int").alias("salt"))
-        q = self.copies.select("rep", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.when(big, salts - 1).otherwise(0))).alias("salt"))
-        same = p.join(q, ["rep", "salt"]).where("x < y").select("x", "y")
+        # Groups of copies are cut into parts of about 1,000: who meets a group meets each part of it.
+        parts = F.ceil(F.col("copies") / 1000).cast("bigint")
+        member = self.copies.select("rep", "id", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+        groups = self.copies.groupBy("rep").agg(F.max(parts).alias("parts"))
+
+        def spread(df, column, to):
+            """``df`` with a row for every copy of ``column``, the representative itself among them."""
+            wide = lookup(df, column, groups.withColumnRenamed("rep", column)).withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts").cast("int"), F.lit(1)) - 1)))
+            got = wide.join(member.select(F.col("rep").alias(column), "part", F.col("id").alias(to)), [column, "part"], "left")
+            return got.withColumn(to, F.coalesce(to, column)).drop("parts", "part")
+
+        both = spread(spread(links, "a", "x"), "b", "y").select("x", "y")
+        one = member.select("rep", "part", F.col("id").alias("x"))
+        other = member.select("rep", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), F.col("id").alias("y"))
+        same = one.join(other, ["rep", "part"]).where("x < y").select("x", "y")
         return both.union(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
     def classes(self) -> DataFrame:
