@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import leaks, markup, markup_train, mixing, neardup, repetition
+from tidemark.llm import leaks, markup, markup_train, mixing, neardup, neighbours, repetition
 from tidemark.llm.neighbours import Neighbours
 from tidemark.llm.splitting import Splitter, split_oversized
 
@@ -29,18 +29,27 @@ def nearest(ids, x, k):
     return {(ids[i], ids[j]) for i in range(len(ids)) for j in sorted(range(len(ids)), key=lambda j: (-s[i, j], ids[j]))[:k] if i != j}
 
 
-def test_neighbours_brute(spark):
+@pytest.mark.parametrize("cell_rows", [10_000, 90])
+def test_neighbours_brute(spark, monkeypatch, cell_rows):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(30, 16))
     x = (centres[rng.integers(0, 30, 1500)] + 0.3 * rng.normal(size=(1500, 16))).astype(np.float32)
     x[100:140] = x[100]  # a large group of copies
     x[700] = 3 * x[701]
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(1500) * 3, "v": x.tolist(), "other": 1, "list": "x"}), "id bigint, v array<float>, other int, list string")
-    got = Neighbours(df, "id", "v", dims=16, k=4, probes=10, list_size=50).top()
-    pairs = {(r.id, r.other) for r in got.collect()}
     want = nearest([int(i) * 3 for i in range(1500)], x.astype(np.float64), 4)
-    assert len(pairs & want) / len(want) > 0.97
-    assert len(pairs) == len(want)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", cell_rows)
+    found = Neighbours(df, "id", "v", dims=16, k=4, cell_size=200, list_size=50)
+    assert found.cells == 7 and (found.parts.max() > 1) == (cell_rows < 200)
+    pairs = [(r.id, r.other) for r in found.top().collect()]
+    assert len(pairs) == len(set(pairs)) == len(want) and len(want.intersection(pairs)) / len(want) > 0.97
+
+
+def test_neighbours_all_alike(spark):
+    """One group of copies: each has the smallest other ids; with one more vector that comes in too."""
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)] + [(20, [2.0, 4.0]), (30, [2.0, 1.0])], "id bigint, v array<double>")
+    got = {(r.id, r.other, r.place) for r in Neighbours(df, "id", "v", dims=2, k=2).top().collect()}
+    assert got == {(i, o, n) for i in [*range(9), 20, 30] for n, o in enumerate([x for x in range(4) if x != i][:2], 1)}
 
 
 def test_neighbours_unusable(spark):
@@ -208,7 +217,7 @@ def test_near_duplicates_dense_family(spark):
 def test_near_duplicates_key_beyond_held(spark, monkeypatch, second, sizes):
     """Every row of a key that does not fit in memory is dense, wherever the flushes fall."""
     monkeypatch.setattr(neardup, "HELD", 100)
-    depth, length = (neardup.SECOND, neardup.SECOND + 2) if second else (neardup.FIRST, neardup.FIRST + 2)
+    depth, length = (neardup.DEPTH2, neardup.LABEL2) if second else (3, neardup.LABEL)
     cols = neardup._label_columns(0, length, second)
     rows = []
     for label, n in enumerate(sizes):
@@ -229,6 +238,16 @@ def test_near_duplicates_key_beyond_held(spark, monkeypatch, second, sizes):
     assert {(r.a, r.b) for r in got if not r.dense and r.a >= few} == {(i, i + 1) for i in range(few, len(rows), 2)}
 
 
+def test_forest_recall():
+    """The depth and the tries that the recall asks for, against drawn pairs at the threshold."""
+    assert neardup.depth_for(0.6, neardup.TREES, neardup.LABEL, 0.9975) == 3 and neardup.depth_for(0.6, 1, 5, 0.99) == 1
+    rng, t = np.random.default_rng(5), 0.6
+    trees = neardup.trees_for(t, neardup.DEPTH2, 0.99)
+    cols = np.array([neardup._label_columns(k, neardup.LABEL2, True)[: neardup.DEPTH2] for k in range(trees)])
+    agree = rng.random((4000, neardup.N_PERM)) < t
+    assert abs(agree[:, cols].all(axis=2).any(axis=1).mean() - 0.99) < 0.006
+
+
 def test_near_duplicates_empty(spark):
     df = spark.createDataFrame([], "id bigint, body string")
     nd = neardup.NearDuplicates(df, "id", "body")
@@ -341,23 +360,49 @@ def test_leaks_with_edits(spark):
 # ---------------------------------------------------------------- 9
 
 
-def test_budgets_go_to_siblings_first():
-    leaves = pd.DataFrame({"domain": ["a", "a", "b"], "lang": ["x", "x", "y"], "weight": [0.4, 0.2, 0.4], "supply": [10.0, 1000.0, 1000.0]})
-    got = mixing.budgets(leaves, ["domain", "lang"], 100)
-    assert got["budget"].round(6).tolist() == [10, 50, 40]
-    leaves["supply"] = [10.0, 30.0, 1000.0]
-    assert mixing.budgets(leaves, ["domain", "lang"], 100)["budget"].round(6).tolist() == [10, 30, 60]
-    leaves["supply"] = [1.0, 1.0, 1.0]
-    assert mixing.budgets(leaves, ["domain", "lang"], 100)["budget"].sum() == 3
+def greedy(leaves, levels, total):
+    """Budgets by handing out what lacks in rounds."""
+    got = [min(w * total, t * r) for *_, w, t, r in leaves]
+    for depth in range(len(levels), -1, -1):
+        for g in {tuple(x[:depth]) for x in leaves}:
+            ix = [i for i, x in enumerate(leaves) if tuple(x[:depth]) == g]
+            for _ in range(len(ix) + 1):
+                lack = sum(leaves[i][-3] * total - got[i] for i in ix)
+                room = {i: leaves[i][-2] * leaves[i][-1] - got[i] for i in ix}
+                open_ = [i for i in ix if room[i] > 1e-9 and leaves[i][-3] > 0]
+                if lack <= 1e-9 or not open_:
+                    break
+                share = lack / sum(leaves[i][-3] for i in open_)
+                for i in open_:
+                    got[i] += min(room[i], share * leaves[i][-3])
+    return got
+
+
+def test_budgets_go_to_siblings_first(spark):
+    schema = "domain string, lang string, target_share double, tokens bigint, max_repeats int, source string"
+    rows = [("a", "x", 0.4, 10, 1), ("a", "x", 0.2, 1000, 1), ("b", "y", 0.4, 1000, 1)]
+    run = lambda rows, total: [r.budget for r in mixing.budgets(spark.createDataFrame([(*r, str(i)) for i, r in enumerate(rows)], schema).coalesce(1), ["domain", "lang"], total).orderBy(F.col("source").cast("int")).collect()]
+    assert np.allclose(run(rows, 100), [10, 50, 40])
+    rows[1] = ("a", "x", 0.2, 30, 1)
+    assert np.allclose(run(rows, 100), [10, 30, 60])
+    assert np.allclose(run([(*r[:3], 1, 1) for r in rows], 100), 1)
+    rng = random.Random(8)
+    for total in (50, 400, 5000):
+        rows = [(rng.choice("ab"), rng.choice("xyz"), rng.choice([0.0, 0.01, 0.05, 0.1]), rng.choice([0, 3, 20, 200]), rng.randrange(1, 4)) for _ in range(24)]
+        assert np.allclose(run(rows, total), greedy(rows, ["domain", "lang"], total))
+
+
+def mixture(df, targets):
+    docs = mixing.sized(df, "id", "src", "kind", "lang", mixing.plain_tokens("text"))
+    return mixing.mix(docs, mixing.budgets(mixing.leaves(docs, targets), ["domain", "lang"]))
 
 
 def test_mix(spark):
     rng = random.Random(2)
     docs = [(i, rng.choice(["A ", "a", "b", "c", None, "other"]), prose(rng, rng.randrange(1, 30)), "guide", "en-US") for i in range(600)] + [(700, "a", None, None, None), (None, "a", "x y", "guide", "en"), (1, "b", "x y z", "guide", "en")]
-    df = spark.createDataFrame(docs, "id bigint, src string, text string, kind string, lang string")
+    df = spark.createDataFrame([(*d, "clash") for d in docs], "id bigint, src string, text string, kind string, lang string, source string")
     targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.7, 2), ("c", 0.05, 3), ("d", 0.05, 2)], "source string, target_share double, max_repeats int")
-    tree = mixing.main_tree(df, "src", "kind", "lang", targets)
-    selected, shares = mixing.mix(df, "id", "src", targets, tree, mixing.plain_tokens("text"))
+    selected, shares = mixture(df, targets)
     rows = {r.source: r for r in shares.collect()}
     size = {}
     for i, s, t, *_ in docs:
@@ -369,13 +414,13 @@ def test_mix(spark):
     assert rows["d"].tokens == 0 and abs(sum(r.share for r in rows.values()) - 1) < 1e-9
     limit = {"a": 1, "b": 2, "c": 3}
     assert all(1 <= r.copies <= limit[r.source] for r in selected.collect())
-    assert sorted(map(tuple, selected.collect())) == sorted(map(tuple, mixing.mix(df, "id", "src", targets, tree, mixing.plain_tokens("text"))[0].collect()))
+    assert sorted(map(tuple, selected.collect())) == sorted(map(tuple, mixture(df, targets)[0].collect()))
 
 
 def test_mix_empty(spark):
     df = spark.createDataFrame([], "id bigint, src string, text string, kind string, lang string")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
-    selected, shares = mixing.mix(df, "id", "src", targets, mixing.main_tree(df, "src", "kind", "lang", targets), mixing.plain_tokens("text"))
+    selected, shares = mixture(df, targets)
     assert selected.count() == 0 and shares.first().tokens == 0
 
 

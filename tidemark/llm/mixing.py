@@ -4,7 +4,7 @@ Sources are leaves of a tree (here domain, language, source). Each node's weight
 leaves'. What a leaf cannot give, even repeated as often as it may be, its siblings take over in
 proportion to their weights, then the siblings of its parent, and so on up to the root. Each leaf
 then contributes the first documents, in a seeded order that is drawn anew for every repetition,
-whose tokens fill its budget.
+whose tokens fill its budget. Everything is a DataFrame: there may be any number of sources.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: A leaf table is small by nature (one row per configured source); more rows than this are refused.
-MAX_LEAVES = 2_000
+from tidemark.operators.skew import lookup
+from tidemark.session import written
+
 #: Buckets of documents by their draw; prefix sums run within buckets and over bucket totals.
 BUCKETS = 1024
 
@@ -49,86 +50,88 @@ def _encoding(path: str, pattern: str):
     return _encodings[path]
 
 
-def source_sizes(docs: DataFrame, source_col: str, targets: DataFrame, tokens: Column) -> DataFrame:
-    """``source, tokens, docs`` for every target source; documents of other sources are left out.
-    Sources are compared trimmed and in lower case; a source without documents has 0 tokens."""
-    sized = docs.select(F.lower(F.trim(F.col(source_col))).alias("source"), tokens.alias("tokens"))
-    total = sized.where("source IS NOT NULL").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    return targets.select("source", "target_share", "max_repeats").join(total, "source", "left").fillna(0, ["tokens", "docs"])
+def sized(docs: DataFrame, id_col: str, source_col: str, domain_col: str, lang_col: str, tokens: Column) -> DataFrame:
+    """``id, source, domain, lang, tokens`` of documents that have an id, a source and tokens, written
+    once: the texts are counted in one pass, and all that follows reads these few columns.
+
+    Sources and domains are compared trimmed and in lower case, languages by their first subtag in
+    lower case. Null domains are ``unknown``, null languages ``und``."""
+    clean = lambda c: F.lower(F.trim(F.col(c)))
+    got = docs.select(F.col(id_col).alias("id"), clean(source_col).alias("source"), F.coalesce(clean(domain_col), F.lit("unknown")).alias("domain"),
+                      F.coalesce(F.substring_index(clean(lang_col), "-", 1), F.lit("und")).alias("lang"), tokens.alias("tokens"))
+    return written(got.where("id IS NOT NULL AND source IS NOT NULL AND tokens > 0"), "sized")
+
+
+def leaves(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row per source of ``targets`` (source, target_share, max_repeats): its ``tokens``, 0 where it
+    has no documents, and the ``domain`` and ``lang`` that most of its documents have (of equal numbers
+    the greater name). ``docs`` comes from ``sized``; documents of other sources are left out."""
+    n = docs.groupBy("source", "domain", "lang").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    best = lambda c: n.groupBy("source", c).agg(F.sum("n").alias("n")).groupBy("source").agg(F.max(F.struct("n", c)).alias("m")).select("source", f"m.{c}")
+    own = total.join(best("domain"), "source").join(best("lang"), "source")
+    got = targets.select("source", "target_share", "max_repeats").join(own, "source", "left")
+    return got.fillna(0, ["tokens"]).fillna("unknown", ["domain", "lang"])
 
 
-def budgets(leaves: pd.DataFrame, levels: list[str], total: float) -> pd.DataFrame:
-    """Budget per leaf. ``leaves``: the columns ``levels`` (from the root down), ``weight`` and
-    ``supply`` (tokens times repetitions). ``wanted`` is weight times ``total``, ``budget`` what the
-    leaf gives after shortages went to siblings first and to the relatives of each ancestor next."""
-    out = leaves.copy()
-    out[levels] = out[levels].astype(object).where(out[levels].notna(), "unknown")
-    out["wanted"] = out["weight"] * total
-    out["budget"] = out[["wanted", "supply"]].min(axis=1)
+def budgets(leaves: DataFrame, levels: list[str], total: float | None = None) -> DataFrame:
+    """``leaves`` with ``wanted`` and ``budget``. Needs the columns ``levels`` (from the root down),
+    ``target_share`` as weight, ``tokens`` and ``max_repeats``; ``supply`` is the product of the last two.
+
+    ``wanted`` is the weight times ``total`` (default: the tokens of all leaves), ``budget`` what the
+    leaf gives after shortages went to siblings first and to the relatives of each ancestor next. In
+    each group the lack is shared at one rate per weight, up to what each leaf still has. The rate
+    follows from the leaves in the order in which they run dry: it is the greatest rate at which a
+    leaf would not run dry if all before it did.
+    """
+    whole = F.sum("tokens").over(W.partitionBy(F.lit(1))) if total is None else F.lit(float(total))  # a row per source
+    out = leaves.withColumns({"supply": F.col("tokens") * F.col("max_repeats"), "wanted": F.col("target_share") * whole})
+    out = out.withColumn("budget", F.least("wanted", F.col("supply").cast("double")))
     for depth in range(len(levels), -1, -1):
-        groups = [out.index] if depth == 0 else list(out.groupby(levels[:depth], dropna=False, sort=True).groups.values())
-        for ix in groups:
-            for _ in range(len(ix)):
-                lack = out.loc[ix, "wanted"].sum() - out.loc[ix, "budget"].sum()
-                room = out.loc[ix, "supply"] - out.loc[ix, "budget"]
-                share = out.loc[ix, "weight"].where(room > 1e-9, 0.0)
-                if lack <= 1e-9 or share.sum() <= 0:
-                    break
-                out.loc[ix, "budget"] += pd.concat([lack * share / share.sum(), room], axis=1).min(axis=1)
+        group = W.partitionBy(*levels[:depth]) if depth else W.partitionBy(F.lit(1))
+        out = out.withColumns({"_room": F.col("supply") - F.col("budget"), "_lack": F.sum("wanted").over(group) - F.sum("budget").over(group)})
+        open_ = (F.col("_room") > 1e-9) & (F.col("target_share") > 0)
+        out = out.withColumns({"_dry": F.when(open_, F.col("_room") / F.col("target_share")), "_w": F.when(open_, F.col("target_share")).otherwise(0.0)})
+        line = group.orderBy(F.asc_nulls_last("_dry"), "source")
+        before = F.coalesce(F.sum(F.when(open_, F.col("_room"))).over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+        rest = F.sum("_w").over(line.rowsBetween(0, W.unboundedFollowing))
+        out = out.withColumn("_rate", F.try_divide(F.col("_lack") - before, rest))
+        out = out.withColumn("_rate", F.max(F.when(F.col("_rate") <= F.col("_dry"), F.col("_rate"))).over(group))
+        more = F.when(F.col("_rate").isNull(), F.col("supply").cast("double")).otherwise(F.least(F.col("supply").cast("double"), F.col("budget") + F.col("_rate") * F.col("target_share")))
+        out = out.withColumn("budget", F.when((F.col("_lack") > 1e-9) & open_, more).otherwise(F.col("budget"))).drop("_room", "_lack", "_dry", "_w", "_rate")
     return out
 
 
-def mix(docs: DataFrame, id_col: str, source_col: str, targets: DataFrame, tree: DataFrame, tokens: Column, total: float | None = None, seed: int = 7):
-    """The mixture and its shares: ``(selected, shares)``.
+def mix(docs: DataFrame, plan: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """The mixture and its shares: ``(selected, shares)``. ``docs`` comes from ``sized``, ``plan`` from
+    ``budgets``.
 
-    ``targets`` has source, target_share, max_repeats; ``tree`` has source and the levels above it.
-    ``total`` is the size of the mix in tokens (default: all tokens of the target sources).
     ``selected``: ``id, source, copies`` with the number of times each chosen document is used, at
-    most max_repeats; ``shares``: ``source, target_share, budget, tokens, share`` as really reached.
-    A budget is filled up to the document that would exceed it, so a leaf falls short by less than
-    its longest document. Null texts and ids have no tokens and are never chosen. Repeated ids are
-    documents of their own.
+    most max_repeats; ``shares``: ``source, target_share, budget, tokens, uses, share`` as really
+    reached. A budget is filled up to the document that would exceed it, so a leaf falls short by less
+    than its longest document. Repeated ids are documents of their own; null texts, ids and sources
+    were left out.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.lower(F.trim(F.col(source_col))).alias("source"), tokens.alias("tokens")).where("id IS NOT NULL AND source IS NOT NULL AND tokens > 0")
-    sums = targets.select("source", "target_share", "max_repeats").join(sized.groupBy("source").agg(F.sum("tokens").alias("tokens")), "source", "left").fillna(0, ["tokens"]).join(tree, "source", "left")
-    leaves = sums.limit(MAX_LEAVES + 1).toPandas()
-    if len(leaves) > MAX_LEAVES:
-        raise ValueError("mix_targets has too many rows for a table of sources")
-    levels = [c for c in tree.columns if c != "source"]
-    leaves["weight"], leaves["supply"] = leaves["target_share"], leaves["tokens"].astype(float) * leaves["max_repeats"]
-    leaves = budgets(leaves, levels, float(total or leaves["tokens"].sum()))
-    leaves["full"] = [int(b // t) if t else 0 for b, t in zip(leaves["budget"], leaves["tokens"])]
-    leaves["full"] = leaves[["full", "max_repeats"]].min(axis=1)
-    leaves["rest"] = leaves["budget"] - leaves["full"] * leaves["tokens"]
-    plan = docs.sparkSession.createDataFrame(leaves[["source", "full", "rest"]].astype({"source": str, "full": int, "rest": float}), "source string, full int, rest double")
+    full = F.least(F.floor(F.coalesce(F.try_divide("budget", "tokens"), F.lit(0.0))).cast("int"), F.col("max_repeats"))
+    plan = written(plan.withColumn("full", full).withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens")), "plan")
+    own = lookup(docs.select("id", "source", "tokens"), "source", plan.select("source", "full", "rest")).where("full IS NOT NULL")
     # The last, partial epoch is a token prefix in the order of a seeded draw. Sums within buckets of
     # the draw and over the bucket totals keep a source with a third of all rows out of one task.
-    own = sized.join(F.broadcast(plan), "source")  # at most MAX_LEAVES rows
-    draw = F.xxhash64(F.lit(seed), F.col("source"), F.col("full"), F.col("id"))
-    own = own.withColumns({"draw": draw, "bucket": F.pmod(F.shiftright(draw, 32), F.lit(BUCKETS))})
-    totals = own.groupBy("source", "bucket").agg(F.sum("tokens").alias("t"))
-    before = totals.withColumn("before", F.coalesce(F.sum("t").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("t")
+    text = F.concat_ws("|", F.lit(seed), "source", "full", F.col("id").cast("string"))
+    draw = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    own = own.withColumn("draw", draw).withColumn("bucket", F.floor(F.col("draw") / F.lit((1 << 60) // BUCKETS)))
+    totals = own.groupBy("source", "bucket").agg(F.sum("tokens").alias("here"))
+    upto = F.sum("here").over(W.partitionBy("source").orderBy("bucket"))  # at most BUCKETS rows a source
+    placed = own.join(totals.withColumn("before", upto - F.col("here")), ["source", "bucket"])
     # Only the bucket in which the budget ends has to be ordered.
-    placed = own.join(F.broadcast(before), ["source", "bucket"])  # at most MAX_LEAVES * BUCKETS rows
-    edge = placed.join(F.broadcast(totals), ["source", "bucket"])
-    inside = edge.where(F.col("before") + F.col("t") <= F.col("rest")).select("id", "source", "tokens", (F.col("full") + 1).alias("copies"))
-    beyond = edge.where(F.col("before") >= F.col("rest")).select("id", "source", "tokens", F.col("full").alias("copies"))
-    border = edge.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") > F.col("rest")))
+    border = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("here") > F.col("rest"))
+    once = F.when(F.col("before") + F.col("here") <= F.col("rest"), 1).otherwise(0)
+    clear = placed.where(~border).select("id", "source", "tokens", (F.col("full") + once).alias("copies"))
     run = F.col("before") + F.sum("tokens").over(W.partitionBy("source", "bucket").orderBy("draw", "id"))
-    border = border.withColumn("upto", run).select("id", "source", "tokens", (F.col("full") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)).cast("int").alias("copies"))
-    selected = inside.unionByName(beyond).unionByName(border).where("copies > 0")
+    edge = placed.where(border).withColumn("upto", run).select("id", "source", "tokens", (F.col("full") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)).alias("copies"))
+    selected = clear.unionByName(edge).where("copies > 0")
     reached = selected.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("uses"))
-    info = docs.sparkSession.createDataFrame(leaves[["source", "target_share", "budget"]], "source string, target_share double, budget double")
-    shares = info.join(reached, "source", "left").fillna(0, ["tokens", "uses"])
+    shares = plan.select("source", "target_share", "budget").join(reached, "source", "left").fillna(0, ["tokens", "uses"])
     shares = shares.withColumn("share", F.coalesce(F.try_divide("tokens", F.sum("tokens").over(W.partitionBy(F.lit(1)))), F.lit(0.0)))
     return selected.select("id", "source", "copies"), shares
 
-
-def main_tree(docs: DataFrame, source_col: str, domain_col: str, lang_col: str, targets: DataFrame) -> DataFrame:
-    """``source, domain, lang``: each target source under the domain and language that most of its
-    documents have (ties by name). Languages are cut to their first subtag in lower case."""
-    clean = docs.select(F.lower(F.trim(F.col(source_col))).alias("source"), F.coalesce(F.lower(F.trim(F.col(domain_col))), F.lit("unknown")).alias("domain"),
-                        F.coalesce(F.substring_index(F.lower(F.trim(F.col(lang_col))), "-", 1), F.lit("und")).alias("lang")).where("source IS NOT NULL")
-    n = clean.groupBy("source", "domain", "lang").agg(F.count(F.lit(1)).alias("n"))
-    best = lambda c: n.groupBy("source", c).agg(F.sum("n").alias("n")).groupBy("source").agg(F.max(F.struct("n", c)).alias("m")).select("source", f"m.{c}")
-    return targets.select("source").join(best("domain"), "source", "left").join(best("lang"), "source", "left")
