@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.session import cut
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, component`` for every id that occurs in ``edges``; ``component`` is the smallest id of it.
 
-    Large-star and small-star steps alternate until nothing changes; the number of rounds grows with
-    the logarithm of the longest path. Neighbours of a hub are only aggregated to their minimum
+    Large-star and small-star steps alternate until nothing changes, however many rounds that takes; they
+    grow with the logarithm of the longest path. Neighbours of a hub are only aggregated to their minimum
     (combined on the map side) and joined back, never gathered in one task. Self loops, repeated and
     null edges change nothing.
     """
@@ -19,7 +19,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
     nodes = e.select(F.col("u").alias("id")).union(e.select("v")).distinct()
     e = e.where("u <> v")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

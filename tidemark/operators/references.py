@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators.skew import lookup
+from tidemark.operators.skew import hot_keys, lookup
 from tidemark.session import cut
 
 EPOCH_2000 = "2000-01-01 00:00:00"
@@ -43,11 +44,11 @@ def sane_time(c):
     return F.when(c >= F.lit(EPOCH_2000).cast("timestamp"), c)
 
 
-def _direct(fk: ForeignKey, tables: dict[str, DataFrame], keep_key: bool) -> DataFrame:
+def _direct(fk: ForeignKey, tables: dict[str, DataFrame], hot: DataFrame) -> DataFrame:
     child, parent = tables[fk.child], tables[fk.parent]
     refs = child.select("key", "time", F.col(fk.column).alias("_ref")).where(F.col("_ref").isNotNull())
     dim = parent.groupBy(F.col(fk.parent_column).alias("_ref")).agg(F.min("time").alias("_made"), F.lit(True).alias("_there"))
-    found = lookup(refs, "_ref", dim)
+    found = lookup(refs, "_ref", dim, hot=hot)
     missing = F.col("_there").isNull()
     late = F.col("_made") > F.col("time") if fk.check_time else F.lit(False)
     why = F.when(missing, "missing").when(late, "late")
@@ -62,7 +63,7 @@ def _direct(fk: ForeignKey, tables: dict[str, DataFrame], keep_key: bool) -> Dat
     ).where(F.col("reason").isNotNull())
 
 
-def orphans(entities: list[Entity], keys: list[ForeignKey], max_rounds: int = 50) -> DataFrame:
+def orphans(entities: list[Entity], keys: list[ForeignKey]) -> DataFrame:
     """One row per orphaned reference: ``ref_table, ref_key, ref_column, parent_table, parent_key,
     kind, reason, depth, period``.
 
@@ -71,11 +72,13 @@ def orphans(entities: list[Entity], keys: list[ForeignKey], max_rounds: int = 50
     is the month of the child's time, ``unknown`` without one. Null references are none. Repeated
     child rows are references of their own; a parent key that occurs twice exists once, since its
     earliest time. Empty tables give no rows; every reference into an empty parent is missing.
-    A child that is a direct orphan by one key may also be an inherited one by another.
+    A child that is a direct orphan by one key may also be an inherited one by another. The cascade
+    ends when a round adds nothing, however long the chains are; a row enters it once, so cycles end too.
     """
     tables = {e.name: e.rows for e in entities}
     parents = {k.parent for k in keys}
-    parts = [_direct(k, tables, True).withColumns({"kind": F.lit("direct"), "depth": F.lit(0)}) for k in keys]
+    hot = {(k.child, k.column): hot_keys(tables[k.child].select(F.col(k.column).alias("_ref")), ["_ref"]) for k in keys}
+    parts = [_direct(k, tables, hot[k.child, k.column]).withColumns({"kind": F.lit("direct"), "depth": F.lit(0)}) for k in keys]
     # Only tables that are themselves parents can pass orphanhood on.
     frontier: dict[str, DataFrame] = {}
     for p in sorted(parents):
@@ -83,7 +86,7 @@ def orphans(entities: list[Entity], keys: list[ForeignKey], max_rounds: int = 50
         if own:
             frontier[p] = cut(reduce(DataFrame.unionByName, own).distinct())
     known = dict(frontier)
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         frontier = {p: f for p, f in frontier.items() if not f.isEmpty()}
         if not frontier:
             break
@@ -94,7 +97,7 @@ def orphans(entities: list[Entity], keys: list[ForeignKey], max_rounds: int = 50
             gone = tables[k.parent].join(frontier[k.parent].withColumnRenamed("ref_key", "key"), "key", "left_semi")
             gone = gone.select(F.col(k.parent_column).alias("_ref")).where(F.col("_ref").isNotNull()).distinct().withColumn("_gone", F.lit(True))
             refs = tables[k.child].select("key", "time", F.col(k.column).alias("_ref"))
-            hit = lookup(refs, "_ref", gone).where("_gone")
+            hit = lookup(refs, "_ref", gone, hot=hot[k.child, k.column]).where("_gone")
             level = hit.select(
                 F.lit(k.child).alias("ref_table"), F.col("key").alias("ref_key"), F.lit(k.column).alias("ref_column"),
                 F.lit(k.parent).alias("parent_table"), F.col("_ref").cast("string").alias("parent_key"), "time",

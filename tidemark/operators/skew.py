@@ -22,14 +22,15 @@ def hot_keys(df: DataFrame, keys: list[str], least: int = 10_000) -> DataFrame:
     return df.sparkSession.createDataFrame([tuple(r) for r in found], counts.select(*keys).schema)
 
 
-def lookup(df: DataFrame, key: str | list[str], dim: DataFrame, least: int = 10_000) -> DataFrame:
+def lookup(df: DataFrame, key: str | list[str], dim: DataFrame, least: int = 10_000, hot: DataFrame | None = None) -> DataFrame:
     """Left join of ``df`` with ``dim``, whose ``key`` (a column or several) is unique.
 
     Rows of hot keys meet a broadcast of at most ``MAX_HOT`` rows of ``dim`` and are not shuffled;
-    all other rows go through a shuffled join. Null keys match nothing and keep null columns.
+    all other rows go through a shuffled join. Null keys match nothing and keep null columns. Who looks
+    up the same column repeatedly hands in its ``hot_keys`` as ``hot``.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    hot = hot_keys(df, keys, least)
+    hot = hot_keys(df, keys, least) if hot is None else hot
     if hot.isEmpty():
         return df.join(dim, keys, "left")
     hot_dim = hot.join(dim, keys, "left")

@@ -20,36 +20,45 @@ def _reference_tables(spark, d):
     return ref.chunk_reference_tables(*(table(spark, d, t) for t in ("chunks", "chunk_interactions", "search_log", "edges")))
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """References to chunks that are not there or came later."""
-    found = ref.orphans(_reference_tables(spark, d), ref.CHUNK_KEYS).where("kind = 'direct'")
-    return found.select("ref_table", "ref_key", F.col("parent_key").cast("bigint").alias("chunk_id"), "period")
-
-
-def p2_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Orphan references per table and month."""
-    return ref.orphan_counts(ref.orphans(_reference_tables(spark, d), ref.CHUNK_KEYS))
-
-
-def p2_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Direct and inherited orphans over the whole foreign-key graph: files belong to projects,
-    chunks to files, vectors, edges and logs to chunks."""
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Direct and inherited orphans over the whole foreign-key graph: files belong to projects, chunks
+    to files, vectors, edges and logs to chunks."""
     ts = lambda c: F.col(c).cast("timestamp")
     path = lambda c: F.concat_ws("|", F.col("project_id"), F.col(c))
     chunks = table(spark, d, "chunks")
-    leaves = [e for e in _reference_tables(spark, d) if e.name != "chunks"]
+    logs = [e for e in _reference_tables(spark, d) if e.name != "chunks"]
     entities = [
         ref.Entity("projects", table(spark, d, "projects").select(F.col("id").alias("key"), F.col("id").alias("project"), F.lit(None).cast("timestamp").alias("time"))),
         ref.Entity("file_index", table(spark, d, "file_index").select(path("file_path").alias("key"), path("file_path").alias("file"), F.col("project_id").alias("project"), ts("last_indexed").alias("time"))),
         ref.Entity("chunks", chunks.select(F.col("id").cast("string").alias("key"), F.col("id").alias("chunk_id"), path("file_path").alias("file"), ts("created_at").alias("time"))),
         ref.Entity("chunks_vec", table(spark, d, "chunks_vec").select(F.col("id").cast("string").alias("key"), F.col("id").alias("chunk_id"), F.lit(None).cast("timestamp").alias("time"))),
-        *leaves,
+        *logs,
     ]
     keys = [
         ref.ForeignKey("file_index", "project", "projects", "project"), ref.ForeignKey("chunks", "file", "file_index", "file"),
         ref.ForeignKey("chunks_vec", "chunk_id", "chunks", "chunk_id"), *ref.CHUNK_KEYS,
     ]
-    return ref.orphans(entities, keys).groupBy("ref_table", "parent_table", "kind", "depth", "period").agg(F.count(F.lit(1)).alias("n_refs"))
+    return ref.orphans(entities, keys)
+
+
+def _chunk_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Of the cascade's rows those that name a chunk that is not there or came later."""
+    return _orphans(spark, d).where("kind = 'direct'").where(F.col("ref_table").isin(*(k.child for k in ref.CHUNK_KEYS)))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """References to chunks that are not there or came later."""
+    return _chunk_orphans(spark, d).select("ref_table", "ref_key", F.col("parent_key").cast("bigint").alias("chunk_id"), "period")
+
+
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Orphan references per table and month."""
+    return ref.orphan_counts(_chunk_orphans(spark, d))
+
+
+def p2_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Direct and inherited orphans of the whole graph by table, parent, distance and month."""
+    return _orphans(spark, d).groupBy("ref_table", "parent_table", "kind", "depth", "period").agg(F.count(F.lit(1)).alias("n_refs"))
 
 
 def _session_table(spark: SparkSession, d: str) -> DataFrame:
@@ -99,6 +108,17 @@ timed AS (SELECT ref_table, ref_key, chunk_id, CASE WHEN t >= TIMESTAMP '2000-01
 found AS (SELECT r.ref_table, r.ref_key, r.chunk_id, coalesce(strftime(r.t, '%Y-%m'), 'unknown') period
   FROM timed r LEFT JOIN chunks c ON c.id = r.chunk_id WHERE c.id IS NULL OR c.created_at > r.t)
 """
+_CASCADE_SQL = _REFS_SQL + """,
+fi AS (SELECT concat_ws('|', project_id, file_path) f, project_id, last_indexed t, project_id IS NOT NULL AND project_id NOT IN (SELECT id FROM projects) gone FROM file_index),
+ch AS (SELECT id, created_at t, concat_ws('|', project_id, file_path) f FROM chunks),
+co AS (SELECT id, t, f NOT IN (SELECT f FROM fi) direct, f IN (SELECT f FROM fi WHERE gone) below FROM ch),
+rf AS (SELECT ref_table, chunk_id, t, true timed FROM timed UNION ALL SELECT 'chunks_vec', id, NULL, false FROM chunks_vec WHERE id IS NOT NULL),
+a AS (SELECT 'file_index' ref_table, 'projects' parent_table, 'direct' kind, 0 depth, t FROM fi WHERE gone
+  UNION ALL SELECT 'chunks', 'file_index', 'direct', 0, t FROM co WHERE direct UNION ALL SELECT 'chunks', 'file_index', 'inherited', 1, t FROM co WHERE below
+  UNION ALL SELECT ref_table, 'chunks', 'direct', 0, rf.t FROM rf LEFT JOIN co ON co.id = rf.chunk_id WHERE co.id IS NULL OR (timed AND co.t > rf.t)
+  UNION ALL SELECT ref_table, 'chunks', 'inherited', CASE WHEN direct THEN 1 ELSE 2 END, rf.t FROM rf JOIN co ON co.id = rf.chunk_id WHERE direct OR below)
+SELECT ref_table, parent_table, kind, depth, coalesce(strftime(t, '%Y-%m'), 'unknown') period, count(*) n_refs FROM a GROUP BY ALL
+"""
 _SESSIONS_SQL = """
 WITH e AS (SELECT DISTINCT chunk_id, project_id, file_path, interaction, source_tool, "timestamp" FROM chunk_interactions),
 u AS (SELECT lower(trim(project_id)) p, epoch_us("timestamp") us, lower(trim(coalesce(interaction, 'unknown'))) kind FROM e
@@ -122,6 +142,7 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p2_cascade, p6_found, p6
 SQL = {
     "p2_found": _REFS_SQL + "SELECT * FROM found",
     "p2_counts": _REFS_SQL + "SELECT ref_table, period, 'direct' kind, count(*) n_refs FROM found GROUP BY ALL",
+    "p2_cascade": _CASCADE_SQL,
     "p6_found": _SESSIONS_SQL + "SELECT p project_id, min(us) start_us, max(us) end_us, count(*) n_events FROM n GROUP BY p, s",
     "p6_sessions": _SESSIONS_SQL + "SELECT p project_id, min(us) start_us, max(us) end_us, (max(us) - min(us)) / 1e6 duration_s, count(*) n_events, "
     + ", ".join(f"count(*) FILTER (kind = '{k}') n_{k}" for k in KINDS) + " FROM n GROUP BY p, s",
