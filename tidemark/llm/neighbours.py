@@ -185,7 +185,7 @@ class Neighbours:
     ``df`` is read several times and should be a stored table.
     """
 
-    def __init__(self, df: DataFrame, id_col: str, vec_col: str, dims: int = 64, k: int = 5, recall: float = 0.995, probes: int = 16, epsilon: float = 1.8, list_size: int = 100, cell_size: int = 8192, seed: int = 3):
+    def __init__(self, df: DataFrame, id_col: str, vec_col: str, dims: int = 64, k: int = 5, recall: float = 0.995, probes: int = 12, epsilon: float = 1.5, list_size: int = 100, cell_size: int = 8192, seed: int = 3):
         self.spark, self.dims, self.k, self.recall, self.seed = df.sparkSession, dims, k, recall, seed
         self.scan_with = (k, k + 3, list_size, probes, epsilon)
         source = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
