@@ -21,12 +21,18 @@ def _day(us: Column) -> Column:
     return F.floor(us / F.lit(DAY_US)).cast("int")
 
 
+#: Events that one task takes at most, on average; a batch is spread over so many buckets a day.
+BUCKET_ROWS = 2_000_000
+#: Writes that may hold events of one day before they are written anew as one.
+MAX_WRITES = 8
+
+
 def clean_events(df: DataFrame, group: str, time: str, kind: str, other: list[str]) -> DataFrame:
-    """Distinct usable events: ``grp, us, kind, mark``.
+    """Usable events, repeated ones among them: ``grp, us, kind, a, b``.
 
     ``grp`` is trimmed and lower-cased; rows with null or empty group, null time or a time before
     2000 are left out. Rows equal in group, time, kind and the columns ``other`` (spelt as they are)
-    are one event; ``mark`` identifies it in 128 bits.
+    are one event; ``a`` and ``b`` identify it in 128 bits.
     """
     raw = [group, time, kind, *other]
     parts = [x for c in raw for x in (F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))]
@@ -35,9 +41,8 @@ def clean_events(df: DataFrame, group: str, time: str, kind: str, other: list[st
     return (
         df.where(F.col(group).isNotNull() & F.col(time).isNotNull())
         .select(grp.alias("grp"), us.alias("us"), F.lower(F.trim(F.coalesce(F.col(kind), F.lit("unknown")))).alias("kind"),
-                F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *reversed(parts)).alias("b")).alias("mark"))
+                F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *reversed(parts)).alias("b"))
         .where((F.col("us") >= MIN_US) & (F.col("grp") != ""))
-        .groupBy("mark").agg(F.first("grp").alias("grp"), F.first("us").alias("us"), F.first("kind").alias("kind"))
     )
 
 
@@ -70,7 +75,7 @@ def merge_intervals(parts: DataFrame, kinds: list[str], gap_us: int = GAP_US) ->
 
 def sessionize(df: DataFrame, group: str, time: str, kind: str, other: list[str], kinds: list[str], gap_us: int = GAP_US) -> DataFrame:
     """All sessions of ``df`` in one pass, without a stored table."""
-    return merge_intervals(slots(clean_events(df, group, time, kind, other), kinds, gap_us), kinds, gap_us)
+    return merge_intervals(slots(clean_events(df, group, time, kind, other).distinct(), kinds, gap_us), kinds, gap_us)
 
 
 class SessionTable:
@@ -104,41 +109,45 @@ class SessionTable:
         write = self.table.new_data()
         name = write.rsplit("/", 1)[1]
 
-        events = clean_events(batch, *self.columns)
-        if seen:
-            parts = [f"{self.table.path}/data/{v}/seen/day={d}" for d, vs in sorted(seen.items()) for v in vs]
-            span = batch.select(F.unix_micros(F.col(self.columns[1]).cast("timestamp")).alias("us")).where(F.col("us") >= MIN_US).agg(F.min("us"), F.max("us")).first()
-            if span[0] is None:
-                return base
-            lo, hi = span[0] // DAY_US, span[1] // DAY_US
-            parts = [p for p in parts if lo <= int(p.rsplit("=", 1)[1]) <= hi]
-            if parts:
-                old = self.spark.read.schema("a bigint, b bigint").parquet(*parts)
-                events = events.join(old.select(F.struct("a", "b").alias("mark")), "mark", "left_anti")
-        # The new events are needed twice; they are written once, by day, and that copy is also
-        # what later batches are compared with.
-        marked = events.select("mark.a", "mark.b", "grp", "us", "kind", _day(F.col("us")).alias("day"))
-        marked.repartition("day", F.pmod(F.xxhash64("a"), F.lit(4))).write.partitionBy("day").parquet(f"{write}/seen")
-        touched = [int(x.split("=")[1]) for x in self.table.subfolders(f"{write}/seen")]
+        span = batch.select(F.unix_micros(F.col(self.columns[1]).cast("timestamp")).alias("us")).where(F.col("us") >= MIN_US)
+        n, lo, hi = span.agg(F.count(F.lit(1)), F.min("us"), F.max("us")).first()
+        if not n:
+            return base
+        near = {d: v for d, v in seen.items() if lo // DAY_US <= int(d) <= hi // DAY_US}
+        events = clean_events(batch, *self.columns).select("a", "b", "grp", "us", "kind", _day(F.col("us")).alias("day"), F.lit(False).alias("old"))
+        # Days that too many writes hold are taken over whole, so that their number stays bounded.
+        full = [d for d, v in near.items() if len(v) >= MAX_WRITES]
+        if near:
+            old = self.spark.read.schema("a bigint, b bigint, grp string, us bigint, kind string").parquet(*(f"{self.table.path}/data/{v}/seen/day={d}" for d, vs in sorted(near.items()) for v in vs))
+            events = events.unionByName(old.withColumns({"day": _day(F.col("us")), "old": F.lit(True)}))
+        # One shuffle by day and bucket finds the events that are new, folds repeated ones, and lays
+        # them out as they are written; that copy is what later batches are compared with.
+        bucket = F.pmod("a", F.lit(-(-n // BUCKET_ROWS)))
+        events = events.withColumn("bucket", bucket).repartition("day", "bucket").groupBy("day", "bucket", "a", "b", "grp", "us", "kind").agg(F.bool_or("old").alias("old"))
+        keep = ~F.col("old") | F.col("day").isin([int(d) for d in full]) if full else ~F.col("old")
+        events.where(keep).drop("bucket").write.partitionBy("day").parquet(f"{write}/seen")
+        stored = self.spark.read.schema("grp string, us bigint, kind string, old boolean, day int").parquet(f"{write}/seen")
+        fresh = stored.where("NOT old")
+        touched = sorted(r[0] for r in fresh.select("day").distinct().collect()) if full else [int(x.split("=")[1]) for x in self.table.subfolders(f"{write}/seen")]
         if not touched:
             return base
-        fresh = self.spark.read.schema("grp string, us bigint, kind string, day int").parquet(f"{write}/seen")
         gap_days = -(-self.gap // DAY_US)
-        near = {}
+        close = {}
         for d, x in days.items():
             first, last = int(d) - gap_days, (x["last_us"] + self.gap) // DAY_US
             if any(first <= t <= last for t in touched):
-                near[d] = x
-        stored = self._read({d: x["write"] for d, x in near.items()}, "sessions", self.schema)
+                close[d] = x
+        stored = self._read({d: x["write"] for d, x in close.items()}, "sessions", self.schema)
         merged = merge_intervals(slots(fresh, self.kinds, self.gap).unionByName(stored), self.kinds, self.gap)
         merged = merged.withColumn("day", _day(F.col("start_us")))
         merged.repartition("day").write.partitionBy("day").parquet(f"{write}/sessions")
 
-        for d in near:
+        for d in close:
             del days[d]
         last = self.spark.read.schema(self.schema + ", day int").parquet(f"{write}/sessions").groupBy("day").agg(F.max("end_us").alias("m")).collect()  # one row a day
         for r in last:
             days[str(r["day"])] = {"write": name, "last_us": r["m"]}
         for t in touched:
             seen.setdefault(str(t), []).append(name)
+        seen |= {d: [name] for d in full}
         return self.table.commit(base, {"days": days, "seen": seen})
