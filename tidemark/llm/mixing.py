@@ -59,7 +59,8 @@ def sized(docs: DataFrame, id_col: str, source_col: str, domain_col: str, lang_c
     clean = lambda c: F.lower(F.trim(F.col(c)))
     got = docs.select(F.col(id_col).alias("id"), clean(source_col).alias("source"), F.coalesce(clean(domain_col), F.lit("unknown")).alias("domain"),
                       F.coalesce(F.substring_index(clean(lang_col), "-", 1), F.lit("und")).alias("lang"), tokens.alias("tokens"))
-    return written(got.where("id IS NOT NULL AND source IS NOT NULL AND tokens > 0"), "sized")
+    # A filter on the tokens before they are written would have them counted twice.
+    return written(got.where("id IS NOT NULL AND source IS NOT NULL"), "sized").where("tokens > 0")
 
 
 def leaves(docs: DataFrame, targets: DataFrame) -> DataFrame:
