@@ -4,8 +4,8 @@ A document is cut into leaves: its lines, and as one leaf each whatever is liter
 comments, scripts, displayed formulas). A leaf carries its tag path (the open literal or element it
 stands in), the notations that occur in it, and hashed words. A bidirectional LSTM in numpy reads the
 whole sequence of leaves, so the language of the rest of the document decides what an ambiguous
-notation is, and gives every leaf its markup languages and elements. A label only stands if a notation
-of that language and element does occur in the leaf (the exact check that follows).
+notation is, and gives every leaf a probability for each markup language and element. Those above one
+half are the leaf's labels, whatever notations were seen in it.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ CUES = [
     ("latex", "heading", re.compile(r"\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph)\*?\s*[\[{]")),
     ("latex", "list", re.compile(r"\\(?:begin|end)\{(?:itemize|enumerate|description)\}|\\item(?![A-Za-z])")),
     ("latex", "formula", re.compile(r"(?<![\\$\w])\$(?=[^\s$])[^$\n]*(?<=[^\s\\$])\$(?![\d$])|\\\((?:[^\n]*?)\\\)")),
-    ("latex", "inline", re.compile(r"\\[a-z]{2,}\*?(?=[\[{])|\\[_%&#$](?=\w|\s|$)|``[^`'\n]+''|(?<=\S)~(?=\\)|(?:^|\s)% \S|\\(?:LaTeX|TeX|ldots|noindent|par|maketitle|newpage|centering|item)(?![A-Za-z])")),
+    ("latex", "inline", re.compile(r"\\(?!(?:part|chapter|(?:sub)*section|(?:sub)?paragraph)\*?\s*[\[{]|(?:begin|end)\{(?:itemize|enumerate|description)\}|item(?![A-Za-z]))[a-z]{2,}\*?(?=[\[{])|\\[_%&#$](?=\w|\s|$)|``[^`'\n]+''|(?<=\S)~(?=\\)|(?:^|\s)% \S|\\(?:LaTeX|TeX|ldots|noindent|par|maketitle|newpage|centering)(?![A-Za-z])")),
 ]
 #: What only one language has: counted over the document as features and, in training, as evidence.
 SIGNS = [
@@ -339,31 +339,21 @@ class Network:
 
 #: Leaves that one batch of the network takes, padding included; longer documents are batches of their own.
 BATCH_LEAVES = 4096
-#: Documents with more leaves are read in windows of this many, each with the context of its neighbours.
-WINDOW, CONTEXT = 2000, 200
 
 
 def label(net: Network, documents: list[list[Leaf]]) -> list[list[set]]:
-    """The labels of every leaf of every document."""
-    jobs = []  # (document, first leaf, from, to, features)
-    for i, found in enumerate(documents):
-        f = features(found)
-        for lo in range(0, max(1, len(f)), WINDOW):
-            a, b = max(0, lo - CONTEXT), min(len(f), lo + WINDOW + CONTEXT)
-            if b > a:
-                jobs.append((i, lo, lo - a, min(len(f), lo + WINDOW) - a, f[a:b]))
+    """The labels of every leaf of every document, each document read as a whole."""
     out = [[set() for _ in found] for found in documents]
-    jobs.sort(key=lambda j: len(j[4]))
+    jobs = sorted(((i, features(found)) for i, found in enumerate(documents) if found), key=lambda j: len(j[1]))
     at = 0
     while at < len(jobs):
         end = at + 1
-        while end < len(jobs) and (end + 1 - at) * len(jobs[end][4]) <= BATCH_LEAVES:
+        while end < len(jobs) and (end + 1 - at) * len(jobs[end][1]) <= BATCH_LEAVES:
             end += 1
-        for (i, first, lo, hi, _), p in zip(jobs[at:end], net.probabilities([j[4] for j in jobs[at:end]])):
-            for s in range(lo, hi):
-                leaf = first + s - lo
-                if documents[i][leaf].can:
-                    out[i][leaf] = {x for x in documents[i][leaf].can if p[s, LABEL_NO[x]] > 0.5}
+        for (i, _), p in zip(jobs[at:end], net.probabilities([f for _, f in jobs[at:end]])):
+            for leaf, j in zip(*np.nonzero(p > 0.5)):
+                if documents[i][leaf].kind != "blank":
+                    out[i][leaf].add(LABELS[j])
         at = end
     return out
 
@@ -451,8 +441,8 @@ def read_markup(df: DataFrame, id_col: str, text_col: str, with_text: bool = Fal
     """``id, found, n_leaves`` (and ``clean``) per row; ``found`` is an array of (markup, element).
 
     Null and empty texts have no markup and null or empty clean text. Repeated rows are read one by
-    one; extra columns are ignored. Whole texts are read, the longest in overlapping windows of
-    leaves. Every row is read where it lies; nothing is shuffled.
+    one; extra columns are ignored. Texts are read whole, however long. Every row is read where it
+    lies; nothing is shuffled.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()

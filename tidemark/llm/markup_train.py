@@ -1,10 +1,12 @@
 """Fits the block labeller: ``python -m tidemark.llm.markup_train CHUNKS.parquet``.
 
-There are no labelled rows, so labels are made from the notations themselves: a notation that one
-language alone has names its label; a shared one goes to the language with most signs in the rest of
-the document, in plain text to Markdown. The network has to learn that from a leaf's features and
-its neighbours. At most ``MAX_DOCS`` documents are used; a tenth of them is held out. ``MIXED`` more
-are put together from several of them, since few chunks mix languages at length.
+Two kinds of documents teach it. Where markup is put into plain sentences of the chunks, each leaf's
+labels are known (``injected``): one language throughout, or none, with text that only looks like markup
+among it. The chunks themselves have no labels; theirs are made from the notations (``weak_labels``): what
+one language alone has names its label, what several share goes to the language with most signs in the
+rest of the document, in plain text to Markdown. At most ``MAX_DOCS`` chunks are used; a tenth of them,
+and all that is made from it, is held out. ``MIXED`` more documents are put together from several chunks,
+since few mix languages at length.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from tidemark.llm.markup import LABEL_NO, LABELS, N_FEATURES, SIGNS, WEIGHTS, Le
 
 MAX_DOCS = 12_000
 MIXED = 5_000
+INJECTED = 12_000
 HIDDEN = 24
 
 
@@ -168,11 +171,92 @@ def fit(rows, rounds=14, size=48, rate=4e-3, seed=1, log=print):
     return p
 
 
+_CODE = ["for i in range(3):", "    print(i)", "# no heading", "x = {'a': [1, 2]}", "if a < b && c > d:", "* pointer = &value;", "return x == y", "[link](x)", "== y ==", "\\\\n", "<b>x</b>", "$ make all"]
+#: What looks like markup and is none.
+_DECOYS = ["{0} costs $5, then $6 {1}", "{0} < 3 and {1} > 4", "the snake_case_{2} of {0}", "{0} in C# and F# {1}", "a List<{2}> of {0}", "{0}[0][1] {1}", "5 * 3 * 2 {0}", "{0} == {1}", "{0} 100% {1}", "see {0}; {1}: {2}",
+           "{0} -- {1}", "2*x {0} and y*3 {1}", "{0} | {1}", "{0}... ({1})", "~40 {0} {1}", "{0} & {1}", "\"{0}\" '{2}'", "file_{2}_name {0}", "A->B {0}", "{0} => {1}", "x_1 {0} y_2"]
+_INLINE = {
+    "html": ["<p>{0}</p>", "{0} <b>{2}</b> {1}", "<a href=\"https://docs.example/{2}\">{0}</a> {1}", "{0} &amp; {1}", "<div class=\"{2}\">{0}</div>", "{0}<br>{1}", "<em>{0}</em> {1}", "{0} <code>{2}</code> {1}", "<table><tr><td>{0}</td></tr></table>", "{0}&nbsp;{1}"],
+    "markdown": ["{0} **{2}** {1}", "{0} [{2}](https://docs.example/{2}) {1}", "{0} `{2}` {1}", "> {0} {1}", "{0} *{2}* {1}", "{0} _{2}_ {1}", "![{0}](img/{2}.png)", "{0} ~~{2}~~ {1}", "{0} [{2}][1] {1}", "| {0} | {1} |", "{0} __{2}__ {1}"],
+    "wiki": ["{0} '''{2}''' {1}", "{0} ''{2}'' {1}", "{0} [[{2}]] {1}", "{0} [[{2}|{0}]] {1}", "{{{{cite|{2}}}}} {0}", "{0} [https://docs.example/{2} {1}]", "{0}<ref>{1}</ref>", "{{{{{2}|x=1}}}} {0}"],
+    "latex": ["{0} \\emph{{{2}}} {1}", "{0} \\textbf{{{2}}} {1}", "{0} \\cite{{{2}}} {1}", "{0} ``{2}'' {1}", "{0} \\texttt{{{2}}} {1}", "{0}\\footnote{{{1}}}", "{0} \\ref{{{2}}} {1}", "{0} 50\\% {1}"],
+}
+_HEADS = {"html": ["<h{3}>{0}</h{3}>"], "markdown": ["## {0}", "### {0}", "# {0}", "#### {0} ####"], "wiki": ["== {0} ==", "=== {0} ==="], "latex": ["\\section{{{0}}}", "\\subsection{{{0}}}", "\\section*{{{0}}}", "\\chapter{{{0}}}"]}
+_ITEMS = {
+    "html": (["<ul>"], ["<li>{0}</li>"], ["</ul>"]), "markdown": ([], ["- {0} {1}", "* {0} {1}", "+ {0}", "{4}. {0}"], []),
+    "wiki": ([], ["* {0} {1}", "# {0}", "** {0}", "; {2}"], []), "latex": (["\\begin{{itemize}}"], ["\\item {0} {1}"], ["\\end{{itemize}}"]),
+}
+_BLOCKS = {"html": ("<pre>", "</pre>"), "markdown": ("```{2}", "```"), "wiki": ("<syntaxhighlight lang=\"{2}\">", "</syntaxhighlight>"), "latex": ("\\begin{{verbatim}}", "\\end{{verbatim}}")}
+_FORMULAS = ["{0} $x_{4}^2 + y$ {1}", "{0} \\(a = b\\) {1}", "$$\ne = mc^{4}\n$$", "\\[\nx < {4}\n\\]", "\\begin{{equation}}\na_{4} = b\n\\end{{equation}}"]
+
+
+def inject(sentences: list[str], rng) -> tuple[list[Leaf], list[set]] | None:
+    """A document of one language or none, made of plain sentences, and the labels of its leaves; None
+    where lines and leaves do not go together."""
+    language = [*_INLINE, None][rng.integers(0, 5)]
+    pick = lambda x: x[rng.integers(0, len(x))]
+
+    def fill(template):
+        return template.format(pick(sentences), pick(sentences), pick(pick(sentences).split()).strip(".,") or "x", rng.integers(1, 5), rng.integers(1, 9))
+
+    heads, items, inlines = (x.get(language) for x in (_HEADS, _ITEMS, _INLINE))
+    if language == "markdown" and rng.random() < 0.3:  # nothing but what wikis write alike
+        heads, items, inlines = [], ([], ["* {0} {1}", "* {2}"], []), ["{0} *{2}* {1}", "{0} _{2}_ {1}"]
+    lines: list[tuple[str, set]] = []
+    for _ in range(rng.integers(1, 14)):
+        kind = pick(["plain", "plain", "decoy", "heading", "list", "code_block", "inline", "inline", "formula"])
+        if language and not heads and kind in ("heading", "code_block"):
+            kind = "list"
+        own = {(language, kind)}
+        if kind == "plain" or (language is None and kind != "formula"):
+            block = [(fill("{0} {1}") if kind == "plain" else fill(pick(_DECOYS)), set())]
+        elif kind == "decoy":
+            block = [(fill(pick(_DECOYS)), set())]
+        elif kind == "heading":
+            block = [(fill(pick(heads)), own)]
+        elif kind == "inline":
+            block = [(fill(pick(inlines)), own)]
+        elif kind == "list":
+            before, item, after = items
+            one = pick(item)
+            block = [(fill(x), own) for x in [*before, *[one] * rng.integers(1, 5), *after]]
+        elif kind == "code_block":
+            open_, close = _BLOCKS[language]
+            block = [(x, own) for x in [fill(open_), *(pick(_CODE) for _ in range(rng.integers(1, 5))), fill(close)]]
+        else:
+            block = [(x, {("latex", "formula")}) for x in fill(pick(_FORMULAS)).split("\n")]
+        lines += [*block, ("", set())] if rng.random() < 0.8 else block
+    found = leaves("\n".join(x for x, _ in lines))
+    truth, at = [], 0
+    for leaf in found:
+        n = leaf.text.count("\n") + 1
+        truth.append(set().union(*(y for _, y in lines[at : at + n])))
+        at += n
+    return (found, truth) if at == len(lines) and len(found) <= 300 else None
+
+
+def injected(texts: list[str], n: int, rng) -> list[tuple[list[Leaf], list[set]]]:
+    """``n`` documents with known labels, from the lines of ``texts`` that are plain words."""
+    plain = [x.strip() for t in texts for x in t.split("\n") if 3 <= len(x.split()) <= 25 and not set(x) - _PLAIN and not x[:4].strip() == ""]
+    out = []
+    while plain and len(out) < n:
+        made = inject(plain, rng)
+        if made:
+            out.append(made)
+    return out
+
+
+_PLAIN = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ ,.äöüßéèàçñóíáúêâ")
+
+
 def rows_of(docs):
+    """Training rows of (leaves, labels): every label of every leaf counts, those that are neither right
+    nor suggested by a notation a tenth, and those of blank leaves not at all."""
     out = []
-    for found in docs:
+    for found, labels in docs:
         y, w = np.zeros((len(found), len(LABELS)), np.float32), np.zeros((len(found), len(LABELS)), np.float32)
-        for i, (leaf, own) in enumerate(zip(found, weak_labels(found))):
+        for i, (leaf, own) in enumerate(zip(found, labels)):
+            w[i] = 0.1 * (leaf.kind != "blank")
             for c in leaf.can | own:
                 w[i, LABEL_NO[c]] = 1
             for c in own:
@@ -182,11 +266,15 @@ def rows_of(docs):
 
 
 def agreement(net, docs):
-    """Share of documents with exactly the weak labels, and (document, label) precision and recall."""
-    got = [set().union(*x) if x else set() for x in label(net, docs)]
-    want = [set().union(*weak_labels(d)) if d else set() for d in docs]
-    hit = sum(len(a & b) for a, b in zip(got, want))
-    return np.mean([a == b for a, b in zip(got, want)]), hit / max(1, sum(map(len, got))), hit / max(1, sum(map(len, want)))
+    """Of documents of (leaves, labels): the share with exactly the labels, and precision and recall of
+    (document, label) and of (leaf, label)."""
+    got, want = label(net, [d for d, _ in docs]), [x for _, x in docs]
+    whole = lambda rows: [set().union(*x) if x else set() for x in rows]
+    figures = [np.mean([a == b for a, b in zip(whole(got), whole(want))])]
+    for a, b in ((whole(got), whole(want)), ([x for d in got for x in d], [x for d in want for x in d])):
+        hit = sum(len(x & y) for x, y in zip(a, b))
+        figures += [hit / max(1, sum(map(len, a))), hit / max(1, sum(map(len, b)))]
+    return tuple(map(float, figures))
 
 
 def mixed(texts, n, rng):
@@ -197,7 +285,7 @@ def mixed(texts, n, rng):
         own += [own[0]] * rng.integers(0, 4) + [own[1]] * rng.integers(0, 4)
         found = leaves("\n\n".join(own[i] for i in rng.permutation(len(own))))
         if len(found) <= 300:
-            out.append(found)
+            out.append((found, weak_labels(found)))
     return out
 
 
@@ -206,15 +294,15 @@ def main(path):
 
     t = pq.read_table(path, columns=["id", "chunk_domain", "content"]).to_pydict()
     texts = [c for d, c in zip(t["chunk_domain"], t["content"]) if d == "content" and c][:MAX_DOCS]
-    docs = [(t, d) for t, d in zip(texts, map(leaves, texts)) if len(d) <= 300]
-    held, used = docs[::10], [d for i, d in enumerate(docs) if i % 10]
-    short = lambda rows: [t for t, d in rows if len(d) <= 60]
+    held, used = texts[::10], [x for i, x in enumerate(texts) if i % 10]
+    weak = lambda rows: [(d, weak_labels(d)) for d in map(leaves, rows) if len(d) <= 300]
+    short = lambda rows: [x for x in rows if x.count("\n") < 60]
     rng = np.random.default_rng(3)
-    p = fit(rows_of([d for _, d in used] + mixed(short(used), MIXED, rng)))
-    net = Network(p)
-    print("held out: documents alike %.4f, precision %.4f, recall %.4f" % agreement(net, [d for _, d in held]))
-    print("held out, mixed: documents alike %.4f, precision %.4f, recall %.4f" % agreement(net, mixed(short(held), MIXED // 10, rng)))
-    np.savez_compressed(WEIGHTS, **{k: v.astype(np.float16) for k, v in p.items()})
+    net = Network(fit(rows_of(weak(used) + mixed(short(used), MIXED, rng) + injected(used, INJECTED, rng))))
+    say = "%s: documents alike %.4f, by document precision %.4f, recall %.4f, by leaf precision %.4f, recall %.4f"
+    for name, docs in (("known labels", injected(held, INJECTED // 5, rng)), ("weak labels", weak(held)), ("weak labels, mixed", mixed(short(held), MIXED // 10, rng))):
+        print(say % ("held out, " + name, *agreement(net, docs)), flush=True)
+    np.savez_compressed(WEIGHTS, **{k: v.astype(np.float16) for k, v in net.p.items()})
 
 
 if __name__ == "__main__":
