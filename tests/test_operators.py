@@ -154,13 +154,33 @@ def test_graph_algorithms(spark):
     assert {(r.id, r.depth) for r in graph.neighbours(e, c, start, 9, ["link"]).collect()} == {(2, 1), (3, 2), (10, 3)}
     r = {x.id: x.rank for x in graph.pagerank(e).collect()}
     assert abs(sum(r.values()) - 1) < 1e-4 and min(r.values()) > 0
-    g = graph.communities(e)
-    assert {x.id: x.community for x in g.collect()} == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 12: 10}
+    more = {x.id: x.rank for x in graph.pagerank(e, c.union(spark.range(99, 100))).collect()}
+    assert set(more) == set(r) | {99} and more[99] < min(r.values())
+    with pytest.raises(RuntimeError):
+        graph.pagerank(e, tol=1e-15, most=3)
+    # Of parallel edges the one of the greatest type counts.
+    two = spark.createDataFrame([(1, 2, "a", 9.0), (1, 2, "b", 1.0), (1, 3, "a", 1.0)], EDGES)
+    ranks = {x.id: x.rank for x in graph.pagerank(two).collect()}
+    assert ranks[2] == ranks[3] and {(x.a, x.b, x.w) for x in graph.undirected(two).collect()} == {(1, 2, 1.0), (1, 3, 1.0)}
+    g = graph.communities(e, spark.range(99, 100))
+    assert {x.id: x.community for x in g.collect()} == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 12: 10, 99: 99}
     alone = g.select("id", F.col("id").alias("community"))
     assert graph.modularity(e, g) > graph.modularity(e, alone)
     assert graph.pagerank(e.limit(0)).count() == 0 and graph.communities(e.limit(0)).count() == 0
-    ch = spark.createDataFrame([(1, '{"a": 1}'), (99, None)], "id bigint, metadata string")
-    assert {x.id: set(x.metadata) for x in graph.with_graph_metadata(ch, g, graph.pagerank(e)).collect()} == {1: {"a", "community_id", "pagerank"}, 99: set()}
+    ch = spark.createDataFrame([(1, '{"a": [1, "x"], "n": 3, "pagerank": 9}'), (99, None)], "id bigint, metadata string")
+    got = {x.id: json.loads(x.metadata) for x in graph.with_graph_metadata(ch, graph.pagerank(e), g).collect()}
+    assert got == {1: {"a": [1, "x"], "n": 3, "community_id": 1, "pagerank": r[1]}, 99: {"community_id": 99}}
+
+
+def test_rebuilt_edges(spark):
+    c = spark.createDataFrame([(1, "p", "a.md", "content", "", '{"categories": ["x"]}'), (2, "p", "a.md", "content", "", '{"categories": ["x"]}'), (3, "q", "a.md", "content", "", None)], CH)
+    v = spark.createDataFrame([], "id bigint, embedding array<float>")
+    e = spark.createDataFrame([(1, 3, "link", 1.0), (3, 3, "link", 1.0), (3, 2, "semantic", 0.9)], EDGES)
+    rows = lambda df: {(r.source_id, r.target_id, r.edge_type) for r in df.collect()}
+    both = graph.rebuilt_edges(e, c, v, v, ("category",), "p")
+    assert rows(both[0]) == {(3, 3, "link"), (1, 2, "category")} and rows(both[1]) == {(1, 2, "category")}
+    assert rows(graph.rebuilt_edges(e, c, v, v)[0]) == {(1, 2, "category")}
+    assert rows(graph.rebuilt_edges(e, c, v, v, ())[0]) == rows(e)
 
 
 def test_line_windows(spark):
@@ -202,7 +222,17 @@ def test_store(spark):
     assert sorted(map(tuple, all_.collect())) == [(1, "a"), (2, "b"), (3, "e")] and added.count() == 1
     j = spark.createDataFrame([('{"a": {"x": 1}, "b": 2}', '{"a": {"y": 2}, "b": null}'), (None, '{"a": 1}'), ("[1]", '{"a": null}'), ('{"a": 1}', None), ("bad", '{"z": [null]}')], "t string, p string")
     assert [json.loads(r[0]) for r in j.select(store.json_patch("t", "p")).collect()] == [{"a": {"x": 1, "y": 2}}, {"a": 1}, {}, {"a": 1}, {"z": [None]}]
-    assert dict(j.limit(1).select(store.shallow_update("t", "p")).first()[0]) == {"a": '{"y":2}', "b": None}
+    assert [json.loads(r[0]) for r in j.select(store.shallow_update("t", "p")).collect()] == [{"a": {"y": 2}, "b": None}, {"a": 1}, {"a": None}, {"a": 1}, {"z": [None]}]
+    e = spark.createDataFrame([(1, 2, "x"), (2, 3, "x"), (3, 1, "y"), (3, 4, "y")], "source_id int, target_id int, edge_type string")
+    ids = spark.createDataFrame([(1,), (2,), (1,), (None,)], "id int")
+    for kind, left, n in ((None, [(3, 4)], 3), ("x", [(3, 1), (3, 4)], 2)):
+        kept, gone = store.delete_edges(e, ids, kind)
+        assert sorted((r[0], r[1]) for r in kept.collect()) == left and gone.first().n == n
+    assert sorted(map(tuple, store.set_values(spark.createDataFrame([("a", "1")], "key string, value string"), {"a": "2", "b": "3"}).collect())) == [("a", "2"), ("b", "3")]
+    named = store.with_ids(spark.createDataFrame([(f"k{i:03d}",) for i in range(300)], "k string").repartition(7), ["k"], 10)
+    assert sorted((r.id, r.k) for r in named.collect()) == [(11 + i, f"k{i:03d}") for i in range(300)]
+    p = spark.createDataFrame([("a", None, "c0"), ("b", None, None)], "id string, last_indexed timestamp_ntz, last_indexed_commit string")
+    assert {(r.id, r.last_indexed is None, r.last_indexed_commit) for r in store.mark_indexed(p, "a", AS_OF).union(store.mark_indexed(p, "b", AS_OF, "c1")).collect()} == {("a", False, "c0"), ("b", True, None), ("a", True, "c0"), ("b", False, "c1")}
     logs = spark.createDataFrame([(1, NOW - 31 * DAY), (2, NOW - 30 * DAY), (3, None)], "id int, timestamp timestamp_ntz")
     assert {r.id for r in store.expire(logs, "timestamp", AS_OF, 30).collect()} == {2, 3}
     with pytest.raises(ValueError):
@@ -267,3 +297,42 @@ def test_stream_state_over_many_batches(spark, tmp_path):
     assert got == {("p", "read"): (9, 2), ("q", "read"): (0, 1), ("p", "edit"): (0, 1), ("q", "edit"): (0, 1)}
     with pytest.raises(ValueError):
         streams.run_once(state, "update", "state")
+
+
+def test_index_runs(spark):
+    from tidemark.operators import indexing
+
+    def at(*rows):
+        return spark.createDataFrame(rows, "project_id string, file_path string, text string").withColumn("file_hash", F.md5("text"))
+
+    index = indexing.Index(
+        spark.createDataFrame([(7, "p", "old.md", "content", "heading", "x", "markdown", 1, 1, "x"), (8, "z", "a.md", "content", "heading", "x", "markdown", 1, 1, "x")], "id bigint, project_id string, file_path string, chunk_domain string, chunk_type string, name string, language string, start_line int, end_line int, content string"),
+        spark.createDataFrame([(7, [1.0]), (8, [1.0])], "id bigint, embedding array<float>"), spark.createDataFrame([(7, 8, "link", 1.0), (8, 8, "link", 1.0)], EDGES),
+        spark.createDataFrame([("p", "old.md", "h", 1, None), ("z", "a.md", "h", 1, None)], "project_id string, file_path string, file_hash string, chunk_count int, last_indexed timestamp_ntz"),
+        spark.createDataFrame([("p", None, None), ("z", None, "c9")], "id string, last_indexed timestamp_ntz, last_indexed_commit string"))
+    files = at(("p", "a.md", "## One\n" + "text " * 60 + "\n## Two\n" + "text " * 60), ("p", "b.py", "def f():\n    return 1\n"), ("p", "c.bin", "x"), ("p", "d.md", " \n"), ("p", "e.md", None))
+    heads = spark.createDataFrame([("p", "abc")], "project_id string, commit string")
+    after, result = indexing.index_run(index, files, AS_OF, heads)
+    assert tuple(result.first()) == ("p", 5, 5, 1, 3, 2, 1)
+    chunks = sorted((r.id, r.project_id, r.file_path, r.chunk_domain, r.name) for r in after.chunks.collect())
+    assert chunks == [(8, "z", "a.md", "content", "x"), (9, "p", "a.md", "content", "One"), (10, "p", "a.md", "content", "Two"), (11, "p", "b.py", "code", "f")]
+    assert {r.id for r in after.vectors.collect()} == {8, 9, 10, 11} and [tuple(r)[:2] for r in after.edges.collect()] == [(8, 8)]
+    assert {(r.project_id, r.file_path, r.chunk_count) for r in after.files.collect()} == {("z", "a.md", 1), ("p", "a.md", 2), ("p", "b.py", 1)}
+    assert {(r.id, r.last_indexed is None, r.last_indexed_commit) for r in after.projects.collect()} == {("p", False, "abc"), ("z", True, "c9")}
+    again, result = indexing.index_run(after, files, AS_OF)
+    assert tuple(result.first()) == ("p", 5, 3, 0, 0, 0, 0) and sorted(again.chunks.collect()) == sorted(after.chunks.collect())
+    assert indexing.index_run(after, files.limit(0), AS_OF)[1].count() == 0
+
+
+def test_cross_search(spark):
+    rows = [(1, "p", "alpha beta gamma"), (2, "p", "alpha delta"), (3, "q", "alpha beta"), (4, "r", "alphabet soup"), (5, "s", "beta")]
+    chunks = spark.createDataFrame([(i, p, "content", t) for i, p, t in rows], "id bigint, project_id string, chunk_domain string, content string")
+    none = spark.createDataFrame([], "id bigint, embedding array<float>")
+    counts = spark.createDataFrame([(2, 20)], "chunk_id bigint, n bigint")
+    known = spark.createDataFrame([(p,) for p in "pqr"], "id string")
+    index = search.TextIndex(chunks)
+    got = search.cross(index, none, counts, [(1, "alpha"), (2, "delta"), (3, " ")], chunks, ["q", "p", "s", "r"], known, limit=3)
+    # Of r only the prefix search finds something; s is unknown; a list of one keeps its score.
+    assert [(r.query_no, r.id, r.project_id, r.score) for r in got.orderBy("query_no", "rank").collect()] == [(1, 3, "q", 0.016393), (1, 2, "p", 0.016393), (1, 4, "r", 0.016393), (2, 2, "p", 0.116393)]
+    keep = search.in_filter(chunks.withColumn("language", F.lit("x")).withColumn("file_path", F.lit("Docs/a.md")), project="p", language="x", file_pattern="docs/%.md")
+    assert {r.id for r in keep.collect()} == {1, 2} and search.clamped(0) == 1 and search.clamped(99) == 50

@@ -125,7 +125,18 @@ def porter(w: str) -> str:
     return w
 
 
+_stems: dict[str, str] = {}
+
+
 @F.pandas_udf(StringType())
 def stem(words: pd.Series) -> pd.Series:
-    """Porter stems; applied to distinct words only."""
-    return words.map(porter, na_action="ignore")
+    """Porter stems; each distinct word is worked out once while the dictionary fits."""
+    out = []
+    for w in words:
+        s = None if w is None else _stems.get(w)
+        if s is None and w is not None:
+            if len(_stems) > 1_000_000:
+                _stems.clear()
+            s = _stems[w] = porter(w)
+        out.append(s)
+    return pd.Series(out, dtype=object)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.operators.search import usable_vectors
+from tidemark.operators.skew import lookup
+from tidemark.operators.store import delete_edges, json_patch
 from tidemark.session import cut, written
 
 
@@ -133,10 +137,24 @@ def semantic_edges(vectors: DataFrame, queries: DataFrame, k: int = 20, threshol
     return got.select("source_id", "target_id", F.lit("semantic").alias("edge_type"), F.round("sim", 4).alias("weight"))
 
 
-def rebuilt_edges(chunks: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """All edges derived from the present chunks; of equal (source, target, type) one is kept."""
-    parts = link_edges(chunks).unionByName(tag_edges(chunks)).unionByName(category_edges(chunks)).unionByName(import_edges(chunks)).unionByName(semantic_edges(vectors, queries))
-    return parts.groupBy("source_id", "target_id", "edge_type").agg(F.max("weight").alias("weight"))
+#: Edge types and what derives them from the present chunks; semantic edges come from vectors.
+DERIVED = {"link": link_edges, "tag": tag_edges, "category": category_edges, "import": import_edges}
+
+
+def rebuilt_edges(edges: DataFrame, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, types: tuple[str, ...] = (*DERIVED, "semantic"), project: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """All edges after the derived ones of the given types are built anew, and the new ones alone.
+
+    With a project its chunks' edges go, at whatever end, and only its chunks are read; otherwise all
+    edges go. Semantic edges are those of ``queries``. No types change nothing."""
+    if not types:
+        return edges, edges.limit(0).select("source_id", "target_id", "edge_type", "weight")
+    own = chunks if project is None else chunks.where(F.col("project_id") == project)
+    parts = [f(own) for t, f in DERIVED.items() if t in types]
+    if "semantic" in types:
+        parts.append(semantic_edges(vectors, queries.join(own.select("id"), "id", "left_semi")))
+    new = reduce(DataFrame.unionByName, parts).groupBy("source_id", "target_id", "edge_type").agg(F.max("weight").alias("weight"))
+    kept = edges.limit(0) if project is None else delete_edges(edges, own)[0]
+    return kept.select("source_id", "target_id", "edge_type", "weight").unionByName(new), new
 
 
 def project_edges(edges: DataFrame, chunks: DataFrame, project: str) -> DataFrame:
@@ -161,69 +179,114 @@ def neighbours(edges: DataFrame, chunks: DataFrame, starts: DataFrame, depth: in
     return seen.where("depth > 0").join(chunks.select("id"), "id", "left_semi")
 
 
-def pagerank(edges: DataFrame, rounds: int = 100, alpha: float = 0.85, tol: float = 1e-6, fixed: bool = False) -> DataFrame:
-    """``id, rank`` over the weighted, directed graph; parallel edges add their weights, null weights
-    count as 1. Nodes without outgoing edges spread their rank evenly. Ends when the ranks change by
-    less than ``tol`` times the number of nodes in all (never before ``rounds`` if ``fixed``)."""
-    e = edges.groupBy("source_id", "target_id").agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("w"))
-    out = e.groupBy("source_id").agg(F.sum("w").alias("total"))
-    e = written(e.join(out, "source_id").select("source_id", "target_id", (F.col("w") / F.col("total")).alias("p")), "edges")
-    nodes = written(e.select(F.col("source_id").alias("id")).union(e.select("target_id")).distinct().join(e.select(F.col("source_id").alias("id"), F.lit(True).alias("out")).distinct(), "id", "left"), "nodes")
-    n = nodes.count()
+def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.85, tol: float = 1e-6, most: int = 100) -> DataFrame:
+    """``id, rank`` over the weighted, directed graph, rounded to six places. Null weights count as 1;
+    of edges with the same ends the one of the greatest type counts. ``nodes`` (id) names what is in the
+    graph besides the ends of edges. Nodes without outgoing edges spread their rank evenly.
+
+    Ends when the ranks change by less than ``tol`` times the number of nodes in all; a graph that is not
+    there after ``most`` rounds is an error."""
+    e = edges.groupBy("source_id", "target_id").agg(F.max_by(F.coalesce("weight", F.lit(1.0)), "edge_type").alias("w"))
+    whole = e.groupBy("source_id").agg(F.sum("w").alias("whole"))
+    e = written(lookup(e, "source_id", whole).select("source_id", "target_id", (F.col("w") / F.col("whole")).alias("p")), "edges")
+    ids = e.select(F.col("source_id").alias("id")).union(e.select("target_id"))
+    ids = (ids if nodes is None else ids.union(nodes.select("id"))).distinct()
+    own = ids.join(e.select(F.col("source_id").alias("id"), F.lit(True).alias("out")).distinct(), "id", "left")
+    state = written(own, "nodes")
+    n, loose = state.agg(F.count(F.lit(1)), F.count_if(F.col("out").isNull())).first()
     if not n:
-        return nodes.sparkSession.createDataFrame([], "id bigint, rank double")
-    rank = nodes.select("id", "out", F.lit(1.0 / n).alias("rank"))
-    for k in range(rounds):
-        loose = rank.where("out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        got = rank.join(e, rank["id"] == e["source_id"]).groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
-        new = rank.join(got, "id", "left").select("id", "out", F.col("rank").alias("old"), (alpha * F.coalesce("got", F.lit(0.0)) + alpha * loose / n + (1 - alpha) / n).alias("rank"))
+        return edges.sparkSession.createDataFrame([], "id bigint, rank double")
+    state, loose = state.withColumn("rank", F.lit(1.0 / n)), loose / n
+    for _ in range(most):
+        got = state.join(e, state["id"] == e["source_id"]).groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
+        new = state.join(got, "id", "left").select("id", "out", F.col("rank").alias("old"), (alpha * F.coalesce("got", F.lit(0.0)) + alpha * loose / n + (1 - alpha) / n).alias("rank"))
         new = cut(new)
-        done = not fixed and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tol
-        rank = new.drop("old")
-        if done:
-            break
-    return rank.select("id", F.round("rank", 6).alias("rank"))
-
+        change, loose = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0))).first()
+        state = new.drop("old")
+        if change < n * tol:
+            return state.select("id", F.round("rank", 6).alias("rank"))
+    raise RuntimeError(f"the ranks still change after {most} rounds")
 
-def communities(edges: DataFrame, rounds: int = 16) -> DataFrame:
-    """``id, community``: groups of the undirected, weighted graph by distributed local moves.
 
-    Every round each node compares the modularity gain of joining its neighbours' groups; half of
-    the nodes (by a hash of round and id) move at once, so that neighbours do not swap for ever. A
-    group is named by its smallest member. Isolated nodes are groups of their own.
-    """
+def undirected(edges: DataFrame) -> DataFrame:
+    """``a, b, w`` with a < b: of edges between the same two chunks, in whatever direction, the one of the
+    greatest type and source counts. Null weights count as 1, edges to oneself are left out."""
     w = F.coalesce("weight", F.lit(1.0))
-    und = edges.where("source_id <> target_id").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), w.alias("w")).groupBy("a", "b").agg(F.max("w").alias("w"))
-    two = written(und.select("a", "b", "w").union(und.select("b", "a", "w")), "edges")
-    deg = written(two.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")), "degrees")
-    m2 = deg.agg(F.sum("k")).first()[0]
-    if not m2:
-        return edges.sparkSession.createDataFrame([], "id bigint, community bigint")
-    lab = deg.select("id", F.col("id").alias("c"), "k")
-    still = 0
-    for r in range(rounds):
+    ends = edges.where("source_id <> target_id").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), w.alias("w"), F.struct("edge_type", "source_id").alias("o"))
+    return ends.groupBy("a", "b").agg(F.max_by("w", "o").alias("w"))
+
+
+#: Rounds of local moves after which the modularity must have risen, and by how much at least.
+CHECKED, RISE = 3, 2e-3
+
+
+def _moved(two: DataFrame, deg: DataFrame, m2: float) -> tuple[DataFrame, bool]:
+    """Local moves on one level: ``id, c`` and whether anything moved. ``two``: a, b, w in both
+    directions; ``deg``: id, k.
+
+    Every round each node compares the modularity gain of joining its neighbours' groups. Half of the
+    nodes move at once, the other half in the next round, and every two rounds the halves are drawn anew,
+    so that neighbours do not swap for ever. Ends when two rounds in a row moved nothing. Moves at once
+    can undo each other: every ``CHECKED`` rounds the modularity must have risen by ``RISE``, or the best
+    state seen counts. Modularity is below 1, so there is an end."""
+    lab, start = deg.select("id", F.col("id").alias("c"), "k"), None
+    best, best_q, still, r = lab, None, 0, 0
+
+    def modularity_of(lab):
+        ends = two.join(lab.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(lab.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
+        inner = ends.agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)) / m2).first()[0] or 0.0
+        return inner - lab.groupBy("c").agg(F.sum("k").alias("s")).agg(F.sum(F.pow(F.col("s") / m2, F.lit(2)))).first()[0]
+
+    start = best_q = modularity_of(lab)
+    while still < 2:
         size = lab.groupBy("c").agg(F.sum("k").alias("s"))
         near = two.join(lab.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("kin"))
         own = lab.select("id", F.col("c").alias("mine"), "k")
         gain = near.join(own, "id").join(size, "c").withColumn("gain", F.col("kin") - F.col("k") * (F.col("s") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)) / m2)
-        best = gain.groupBy("id").agg(F.max(F.struct(F.round("gain", 9).alias("g"), (-F.col("c")).alias("c"))).alias("b"), F.max(F.when(F.col("c") == F.col("mine"), F.round("gain", 9))).alias("stay"))
-        turn = F.pmod(F.xxhash64(F.lit(r), "id"), F.lit(2)) == 0
-        moved = lab.join(best, "id", "left")
-        lone = moved.join(size, "c").withColumn("stay0", F.coalesce("stay", -F.col("k") * (F.col("s") - F.col("k")) / m2))
-        go = turn & (F.col("b.g") > F.col("stay0") + 1e-9)
-        new = cut(lone.select("id", F.when(go, -F.col("b.c")).otherwise(F.col("c")).alias("c"), "k", go.alias("go")))
-        lab = new.drop("go")
-        still = 0 if new.where("go").limit(1).count() else still + 1
-        if still == 4:  # every node had its turn
+        top = gain.groupBy("id").agg(F.max(F.struct(F.round("gain", 9).alias("g"), (-F.col("c")).alias("c"))).alias("b"), F.max(F.when(F.col("c") == F.col("mine"), F.round("gain", 9))).alias("stay"))
+        turn = F.pmod(F.xxhash64(F.lit(r // 2), "id") + r, F.lit(2)) == 0
+        state = lab.join(top, "id", "left").join(size, "c").withColumn("stay0", F.coalesce("stay", -F.col("k") * (F.col("s") - F.col("k")) / m2))
+        go = F.coalesce(turn & (F.col("b.g") > F.col("stay0") + 1e-9), F.lit(False))
+        new = cut(state.select("id", F.when(go, -F.col("b.c")).otherwise(F.col("c")).alias("c"), "k", go.alias("go")))
+        lab, r = new.drop("go"), r + 1
+        still = still + 1 if new.where("go").isEmpty() else 0
+        if still == 2 or r % CHECKED == 0:
+            q, least = modularity_of(lab), best_q + RISE
+            best, best_q = (lab, q) if q > best_q else (best, best_q)
+            if q <= least:
+                break
+    return best.select("id", "c"), best_q > start + 1e-9
+
+
+def communities(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """``id, community``: groups of the undirected, weighted graph by modularity, level by level: local
+    moves to rest, then each group becomes a node whose edges are those of its members, and again until
+    nothing moves. A group is named by its smallest member. ``nodes`` (id) names what is in the graph
+    besides the ends of edges; nodes without an edge are groups of their own."""
+    und = undirected(edges)
+    two = written(und.select("a", "b", "w").union(und.select("b", "a", "w")), "edges")
+    deg = written(two.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")), "degrees")
+    ids = edges.select(F.col("source_id").alias("id")).union(edges.select("target_id"))
+    ids = (ids if nodes is None else ids.union(nodes.select("id"))).where("id IS NOT NULL").distinct()
+    m2 = deg.agg(F.sum("k")).first()[0]
+    group = deg.select("id", F.col("id").alias("c"))
+    moved = bool(m2)
+    while moved:
+        step, moved = _moved(two, deg, m2)
+        if not moved:
             break
-    name = lab.groupBy("c").agg(F.min("id").alias("community"))
-    return lab.join(name, "c").select("id", "community")
+        name = step.groupBy("c").agg(F.min("id").alias("name"))
+        step = cut(step.join(name, "c").select("id", F.col("name").alias("c")))
+        group = cut(group.withColumnRenamed("c", "at").join(step.withColumnRenamed("id", "at"), "at").select("id", "c"))
+        ends = two.join(step.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(step.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
+        two = cut(ends.where("ca <> cb").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+        deg = cut(deg.join(step, "id").groupBy(F.col("c").alias("id")).agg(F.sum("k").alias("k")))
+    return ids.join(group, "id", "left").select("id", F.coalesce("c", "id").alias("community"))
 
 
 def modularity(edges: DataFrame, groups: DataFrame) -> float:
     """The modularity of a partition, for tests and reports."""
-    w = F.coalesce("weight", F.lit(1.0))
-    und = edges.where("source_id <> target_id").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), w.alias("w")).groupBy("a", "b").agg(F.max("w").alias("w"))
+    und = undirected(edges)
     ga, gb = groups.select(F.col("id").alias("a"), F.col("community").alias("ca")), groups.select(F.col("id").alias("b"), F.col("community").alias("cb"))
     e = und.join(ga, "a").join(gb, "b")
     m, inner = e.agg(F.sum("w"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0))).first()
@@ -231,10 +294,12 @@ def modularity(edges: DataFrame, groups: DataFrame) -> float:
     return inner / m - ends.agg(F.sum(F.pow(F.col("d") / (2 * m), F.lit(2)))).first()[0]
 
 
-def with_graph_metadata(chunks: DataFrame, groups: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Chunks whose JSON metadata has ``community_id`` and ``pagerank`` merged in."""
-    j = chunks.join(groups.select("id", F.col("community").alias("community_id")), "id", "left").join(ranks.select("id", F.col("rank").alias("pagerank")), "id", "left")
-    old = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    keep = F.map_filter(old, lambda k, v: ~k.isin("community_id", "pagerank"))
-    new = F.map_filter(F.create_map(F.lit("community_id"), F.col("community_id").cast("string"), F.lit("pagerank"), F.col("pagerank").cast("string")), lambda k, v: v.isNotNull())
-    return j.select("id", F.map_concat(keep, new).alias("metadata"))
+def with_graph_metadata(chunks: DataFrame, ranks: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """``id, metadata``: the chunks' JSON metadata with ``pagerank`` and ``community_id`` merged in, other
+    values as they are."""
+    j = chunks.select("id", "metadata").join(ranks.select("id", F.col("rank").alias("pagerank")), "id", "left")
+    names = ["pagerank"]
+    if groups is not None:
+        j = j.join(groups.select("id", F.col("community").alias("community_id")), "id", "left")
+        names.insert(0, "community_id")
+    return j.select("id", json_patch("metadata", F.to_json(F.struct(*names))).alias("metadata"))

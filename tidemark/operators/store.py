@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql.types import StringType
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tidemark.session import shared_path
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with equal keys. Of several new rows with
@@ -68,24 +70,84 @@ def merge_patch(target, patch):
     return out
 
 
+def _object(text) -> dict:
+    try:
+        found = json.loads(text) if text else {}
+    except ValueError:
+        found = {}
+    return found if isinstance(found, dict) else {}
+
+
+_plain_json = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
+
+
 @F.pandas_udf(StringType())
 def json_patch(target: pd.Series, patch: pd.Series) -> pd.Series:
-    """Merge patch on JSON texts; a null patch changes nothing, text that is no JSON counts as {}."""
+    """Merge patch on JSON texts, with the types of their values; a null patch changes nothing, text that
+    is no JSON object counts as {}."""
+    return pd.Series([t if p is None else _plain_json(merge_patch(_object(t), _object(p))) for t, p in zip(target, patch)], dtype=object)
 
-    def load(x):
-        try:
-            return json.loads(x) if x else {}
-        except ValueError:
-            return {}
 
-    return pd.Series([t if p is None else json.dumps(merge_patch(load(t), load(p)), sort_keys=True) for t, p in zip(target, patch)])
+@F.pandas_udf(StringType())
+def shallow_update(target: pd.Series, patch: pd.Series) -> pd.Series:
+    """JSON objects with the top-level keys of others put in their place, types and nulls kept; otherwise
+    as ``json_patch``."""
+    return pd.Series([t if p is None else _plain_json(_object(t) | _object(p)) for t, p in zip(target, patch)], dtype=object)
 
 
-def shallow_update(target: str, patch: str):
-    """Top-level keys of one JSON column replaced by another's; null values are kept."""
-    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    new = as_map(patch)
-    return F.map_concat(F.map_filter(as_map(target), lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
+def delete_edges(edges: DataFrame, ids: DataFrame, edge_type: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges without those that have a chunk of ``ids`` (id) at either end, all or of one type; and how
+    many went: ``n``. An edge with such chunks at both ends went once."""
+    gone = ids.select("id").distinct().withColumn("_gone", F.lit(True))
+    marked = edges
+    for end in ("source_id", "target_id"):
+        marked = marked.join(gone.select(F.col("id").alias(end), F.col("_gone").alias(f"_{end}")), end, "left")
+    hit = F.col("_source_id").isNotNull() | F.col("_target_id").isNotNull()
+    if edge_type is not None:
+        hit = hit & (F.col("edge_type") == edge_type)
+    hit = F.coalesce(hit, F.lit(False))
+    return marked.where(~hit).select(*edges.columns), marked.where(hit).agg(F.count(F.lit(1)).alias("n"))
+
+
+def delete_project_edges(edges: DataFrame, chunks: DataFrame, project: str, edge_type: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``delete_edges`` for all chunks of a project."""
+    return delete_edges(edges, chunks.where(F.col("project_id") == project), edge_type)
+
+
+def set_values(values: DataFrame, new: dict[str, str]) -> DataFrame:
+    """A table of ``key, value`` with the given values set."""
+    return upsert(values, values.sparkSession.createDataFrame(sorted(new.items()), "key string, value string"), ["key"])
+
+
+def mark_indexed(projects: DataFrame, project: str, as_of: str, commit: str | None = None) -> DataFrame:
+    """Projects with the time of an index run; the commit is only replaced if there is one."""
+    own = F.col("id") == project
+    new = {"last_indexed": F.when(own, F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("last_indexed"))}
+    if commit:
+        new["last_indexed_commit"] = F.when(own, F.lit(commit)).otherwise(F.col("last_indexed_commit"))
+    return projects.withColumns(new)
+
+
+def clear_git(commits: DataFrame, changes: DataFrame, sync: DataFrame, project: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The commit tables without one project's rows."""
+    return tuple(df.where(~F.col("project_id").eqNullSafe(project)) for df in (commits, changes, sync))
+
+
+def with_ids(df: DataFrame, order: list[str], after: int = 0) -> DataFrame:
+    """``df`` with consecutive ids above ``after`` in the given order. Sorted ranges are written in
+    parallel; a range's first id follows from the sizes of those before it, and a row's place in its file
+    from the file."""
+    spark = df.sparkSession
+    path = shared_path(spark, "numbered")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = sorted((r["_file"], r["n"]) for r in back.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a file
+    first, rows = after, []
+    for name, n in sizes:
+        rows.append((name, first))
+        first += n
+    starts = spark.createDataFrame(rows, "_file string, _first bigint")
+    return back.join(F.broadcast(starts), "_file").select((F.col("_first") + F.col("_row") + 1).alias("id"), *df.columns)
 
 
 def file_status(scan: DataFrame, index: DataFrame) -> DataFrame:

@@ -204,11 +204,7 @@ def delete_files(spark, d):
 
 def delete_project_edges(spark, d):
     """Edges that have no end in a project."""
-    own = table(spark, d, "chunks").where("project_id = 'lantern-core'").select("id")
-    e = table(spark, d, "edges")
-    for end in ("source_id", "target_id"):
-        e = e.join(own.withColumnRenamed("id", end), end, "left_anti")
-    return e.select("source_id", "target_id", "edge_type")
+    return store.delete_project_edges(table(spark, d, "edges"), table(spark, d, "chunks"), "lantern-core")[0].select("source_id", "target_id", "edge_type")
 
 
 def chunk_defaults(spark, d):
@@ -219,14 +215,12 @@ def chunk_defaults(spark, d):
 def metadata_patch(spark, d):
     """Metadata after a merge patch that sets one key and removes another."""
     patched = store.json_patch("metadata", F.lit('{"categories": null, "seen": {"by": 1}}'))
-    c = table(spark, d, "chunks").select("id", patched.alias("m"))
-    return c.select("id", F.get_json_object("m", "$.seen.by").alias("seen_by"), F.get_json_object("m", "$.categories").isNull().alias("no_categories"), F.get_json_object("m", "$.tags[0]").alias("first_tag"))
+    return table(spark, d, "chunks").select("id", patched.alias("metadata"))
 
 
 def metadata_update(spark, d):
     """Metadata after a shallow update."""
-    m = store.shallow_update("metadata", F.lit('{"seen": "yes"}'))
-    return table(spark, d, "chunks").select("id", m["seen"].alias("seen"), F.size(m).alias("n_keys"))
+    return table(spark, d, "chunks").select("id", store.shallow_update("metadata", F.lit('{"seen": ["yes", 2]}')).alias("metadata"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -275,6 +269,6 @@ SQL = {
       UNION ALL SELECT 'edges', count(*) FROM edges WHERE source_id NOT IN (SELECT id FROM g) AND target_id NOT IN (SELECT id FROM g) UNION ALL SELECT 'vectors', count(*) FROM chunks_vec WHERE id NOT IN (SELECT id FROM g)""",
     "delete_project_edges": "WITH g AS (SELECT id FROM chunks WHERE project_id = 'lantern-core') SELECT source_id, target_id, edge_type FROM edges WHERE source_id NOT IN (SELECT id FROM g) AND target_id NOT IN (SELECT id FROM g)",
     "chunk_defaults": "SELECT id, coalesce(chunk_domain, 'content') chunk_domain, coalesce(chunk_type, 'block') chunk_type, coalesce(language, 'text') \"language\", name FROM chunks",
-    "metadata_patch": "SELECT id, '1' seen_by, true no_categories, json_extract_string(metadata, '$.tags[0]') first_tag FROM chunks",
-    "metadata_update": "SELECT id, 'yes' seen, CAST(1 + coalesce(len(json_keys(metadata)), 0) AS INT) n_keys FROM chunks",
+    "metadata_patch": """SELECT id, CAST(json_merge_patch(coalesce(metadata, '{}'), '{"categories": null, "seen": {"by": 1}}') AS VARCHAR) metadata FROM chunks""",
+    "metadata_update": """SELECT id, CAST(json_merge_patch(coalesce(metadata, '{}'), '{"seen": ["yes", 2]}') AS VARCHAR) metadata FROM chunks""",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import activity, problems, retrieval
+from tidemark.plans import activity, index, problems, retrieval
 
-MODULES = [activity, retrieval, problems]
+MODULES = [activity, retrieval, index, problems]
 
 
 def queries() -> dict:

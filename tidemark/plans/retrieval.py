@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window as W, functions as F
 
 from tidemark.functions import text as tx
@@ -19,12 +21,13 @@ SEARCHES = [
     (6, "vector snapshot"), (7, "sparse matrix"), (8, "registry fence quota"), (9, "NOT broken"), (10, "   "), (11, "canary NOT payload"), (12, "umbral contador"),
 ]
 PLAIN = [(n, q) for n, q in SEARCHES if n in (1, 2, 4, 6, 8, 12)]
-#: Chunks whose project and domain a search is limited to.
+#: Projects of a cross search, and the chunks that a search is limited to.
+CROSSED = ["lantern-core", "tiny-postings", "no-such-project", "detached-adapter", "lantern-core"]
 SCOPE = "project_id IN ('lantern-core', 'tiny-postings', 'detached-adapter') AND chunk_domain = 'content'"
 
 
 def _index(spark, d, stemmed=False):
-    return TextIndex(table(spark, d, "chunks"), stemmed=stemmed)
+    return TextIndex(table(spark, d, "chunks"), stemmed=stemmed, name=f"{d}/chunks")
 
 
 def bm25_search(spark, d):
@@ -101,24 +104,26 @@ def search_results(spark, d):
     return interaction_boost(spark, d).join(c, "id")
 
 
+def hybrid_filtered(spark, d):
+    """Both branches limited to a language and to paths of a pattern, with a limit that is clamped."""
+    c = table(spark, d, "chunks")
+    keep = search.in_filter(c, language="markdown", file_pattern="docs/%_", domain="content")
+    return search.hybrid(_index(spark, d), table(spark, d, "chunks_vec"), _counts(spark, d), PLAIN, c, keep, search.clamped(0) * 5)
+
+
 def search_rows(spark, d):
     """What searches add to the log."""
-    return search.log_rows(rrf_merge(spark, d), PLAIN, AS_OF)[0]
+    return search.log_rows(rrf_merge(spark, d), PLAIN, AS_OF, table(spark, d, "chunks"))[0]
 
 
 def search_hits(spark, d):
     """What searches add to the interactions."""
-    return search.log_rows(rrf_merge(spark, d), PLAIN, AS_OF)[1]
+    return search.log_rows(rrf_merge(spark, d), PLAIN, AS_OF, table(spark, d, "chunks"))[1]
 
 
 def cross_search(spark, d):
-    """The ranks of every project fused to one list; project lists come in order of their names."""
-    c = table(spark, d, "chunks")
-    got = _index(spark, d).search(PLAIN, limit=1_000_000).join(c.select("id", "project_id"), "id")
-    got = got.withColumn("rank", F.row_number().over(W.partitionBy("query_no", "project_id").orderBy("rank"))).where("rank <= 10")
-    fused = got.withColumn("score", F.round(1.0 / (60 + F.col("rank")), 6))
-    place = F.row_number().over(W.partitionBy("query_no").orderBy(F.desc("score"), "project_id", "rank"))
-    return fused.withColumn("place", place).where("place <= 10").select("query_no", "id", "project_id", "score", "place")
+    """The hybrid searches of several projects, normalised and fused; unknown projects are skipped."""
+    return search.cross(_index(spark, d), table(spark, d, "chunks_vec"), _counts(spark, d), PLAIN, table(spark, d, "chunks"), CROSSED, table(spark, d, "projects"))
 
 
 def sanitized_queries(spark, d):
@@ -196,9 +201,16 @@ def semantic_edges(spark, d):
 
 
 def rebuilt_edge_counts(spark, d):
-    """Edges rebuilt from the present chunks, by type."""
+    """Edges rebuilt from the present chunks, by type; semantic ones from every hundredth chunk to all."""
+    v = table(spark, d, "chunks_vec")
+    _, new = graph.rebuilt_edges(table(spark, d, "edges"), _linked(spark, d), v, v.where("id % 100 = 0"))
+    return new.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rebuilt_project(spark, d):
+    """All edges after one project's tag and category edges are built anew."""
     v = table(spark, d, "chunks_vec")
-    return graph.rebuilt_edges(table(spark, d, "chunks"), v, v.where("id % 100 = 0")).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
+    return graph.rebuilt_edges(table(spark, d, "edges"), table(spark, d, "chunks"), v, v, ("tag", "category"), "lantern-core")[0]
 
 
 def project_edges(spark, d):
@@ -212,26 +224,38 @@ def bfs_neighbours(spark, d):
     return graph.neighbours(table(spark, d, "edges"), c, c.where("id % 100 = 0").select(F.col("id").alias("start")), 2)
 
 
+def _nodes(spark, d):
+    return table(spark, d, "chunks").select("id")
+
+
 def pagerank(spark, d):
-    """Ranks after ten rounds."""
-    return graph.pagerank(table(spark, d, "edges"), 10, fixed=True)
+    """Ranks of all chunks and edge ends."""
+    return graph.pagerank(table(spark, d, "edges"), _nodes(spark, d))
 
 
 def communities(spark, d):
     """Groups of the graph."""
-    return graph.communities(table(spark, d, "edges"))
+    return graph.communities(table(spark, d, "edges"), _nodes(spark, d))
 
 
 def community_members(spark, d):
-    """Size and first members of each group."""
-    g = communities(spark, d).withColumn("no", F.row_number().over(W.partitionBy("community").orderBy(F.col("id").cast("string"))))
-    return g.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("no") <= 10, F.col("id").cast("string")))).alias("first_members"))
+    """Size and first members of each group, the ids as text."""
+    g = communities(spark, d).select("community", F.col("id").cast("string").alias("id"))
+    # A group may hold a third of all chunks: the first ten of each part, then of all parts.
+    first = lambda *by: F.row_number().over(W.partitionBy("community", *by).orderBy("id"))
+    few = g.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("no", first("part")).where("no <= 10").withColumn("no", first()).where("no <= 10")
+    sizes = g.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(few.groupBy("community").agg(F.array_sort(F.collect_list("id")).alias("first_members")), "community")
 
 
 def graph_metadata(spark, d):
     """Chunks with group and rank in their metadata."""
-    e = table(spark, d, "edges")
-    return graph.with_graph_metadata(table(spark, d, "chunks"), graph.communities(e), graph.pagerank(e, 10, fixed=True)).select("id", F.to_json("metadata").alias("metadata"))
+    return graph.with_graph_metadata(table(spark, d, "chunks"), pagerank(spark, d), communities(spark, d))
+
+
+def rank_metadata(spark, d):
+    """Chunks with their rank in their metadata."""
+    return graph.with_graph_metadata(table(spark, d, "chunks"), pagerank(spark, d))
 
 
 def line_chunks(spark, d):
@@ -282,9 +306,9 @@ def stream_state(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_search, bm25_filtered, bm25_stemmed, prefix_search, knn_search, rrf_merge, rrf_multi, normalised_scores, interaction_boost, hybrid_search, search_results, search_rows, search_hits, cross_search,
-    sanitized_queries, snippets, path_filter, longest_prefix, read_lines, languages, wanted_files, link_edges, import_edges, tag_edges, category_edges, semantic_edges, rebuilt_edge_counts, project_edges,
-    bfs_neighbours, pagerank, communities, community_members, graph_metadata, line_chunks, heading_chunks, code_chunks, html_text, fetched_pages, stream_daily, stream_hot, stream_append, stream_state)}
+    bm25_search, bm25_filtered, bm25_stemmed, prefix_search, knn_search, rrf_merge, rrf_multi, normalised_scores, interaction_boost, hybrid_search, hybrid_filtered, search_results, search_rows, search_hits, cross_search,
+    sanitized_queries, snippets, path_filter, longest_prefix, read_lines, languages, wanted_files, link_edges, import_edges, tag_edges, category_edges, semantic_edges, rebuilt_edge_counts, rebuilt_project, project_edges,
+    bfs_neighbours, pagerank, communities, community_members, graph_metadata, rank_metadata, line_chunks, heading_chunks, code_chunks, html_text, fetched_pages, stream_daily, stream_hot, stream_append, stream_state)}
 
 
 def _terms(queries) -> str:
@@ -292,7 +316,7 @@ def _terms(queries) -> str:
     return "(VALUES " + ", ".join(rows) + ")"
 
 
-def _bm25(queries, limit=10, keep="TRUE", match="p.w = q.t", folded="p.w") -> str:
+def _bm25(queries, limit=10, keep="TRUE", match="p.w = q.t") -> str:
     return f"""
 WITH d AS (SELECT id, list_filter(string_split_regex(strip_accents(lower(content)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') w FROM chunks),
 len AS (SELECT id, coalesce(len(w), 0) dl FROM d), st AS (SELECT count(*) n, avg(dl) mean FROM len),
@@ -307,11 +331,11 @@ bm AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_no ORDER BY round(sc
 """
 
 
-def _knn() -> str:
+def _knn(limit=30) -> str:
     vectors = ", ".join(f"({n}, {search.embed(q)}::DOUBLE[])" for n, q in PLAIN)
     return f""", u AS (SELECT id, embedding::DOUBLE[] v FROM chunks_vec WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 kq AS (SELECT * FROM (VALUES {vectors}) v(query_no, qv)),
-kn AS (SELECT query_no, id, list_distance(v, qv) distance, CAST(row_number() OVER (PARTITION BY query_no ORDER BY round(list_distance(v, qv), 9), id) AS INT) rank FROM u, kq QUALIFY rank <= 30)
+kn AS (SELECT query_no, id, list_distance(v, qv) distance, CAST(row_number() OVER (PARTITION BY query_no ORDER BY round(list_distance(v, qv), 9), id) AS INT) rank FROM u, kq QUALIFY rank <= {limit})
 """
 
 
@@ -333,19 +357,45 @@ _SEM = f"""SELECT source_id, target_id, 'semantic' edge_type, round(1 - d * d /
   row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.v, b.v) * list_distance(a.v, b.v), 9), b.id) place FROM u a, u b WHERE a.id % 100 = 0) WHERE place <= 20 AND source_id <> target_id AND round(1 - d * d / 2, 9) >= 0.75"""
 _TAGS = "WITH m AS (SELECT id, project_id, file_path, list_distinct(from_json(json_extract(metadata, '$.{k}'), '[\"VARCHAR\"]')) v FROM chunks WHERE json_extract(metadata, '$.{k}') IS NOT NULL)"
 _SAME = "a.project_id = b.project_id AND a.file_path = b.file_path AND a.id < b.id"
-_PAGERANK = """WITH RECURSIVE e0 AS (SELECT source_id s, target_id t, sum(coalesce(weight, 1.0)) w FROM edges GROUP BY ALL), e AS (SELECT s, t, w / sum(w) OVER (PARTITION BY s) p FROM e0),
-nd AS (SELECT DISTINCT id, id IN (SELECT s FROM e) has FROM (SELECT s id FROM e UNION SELECT t FROM e)), n AS (SELECT count(*) n FROM nd), r0 AS (SELECT id, 1.0::DOUBLE / n r FROM nd, n)
-"""
+_ROUNDS = 60
 
 
-def _pagerank_sql(rounds: int) -> str:
-    out = _PAGERANK
-    for k in range(rounds):
-        out += f""", r{k + 1} AS MATERIALIZED (SELECT nd.id, 0.85::DOUBLE * coalesce(g.got, 0) + 0.85::DOUBLE * (SELECT coalesce(sum(r), 0) FROM r{k} JOIN nd z USING (id) WHERE NOT z.has) / n + 0.15::DOUBLE / n r
-  FROM nd CROSS JOIN n LEFT JOIN (SELECT t id, sum(r * p) got FROM r{k} JOIN e ON e.s = r{k}.id GROUP BY 1) g ON g.id = nd.id)
+def _pagerank_sql() -> str:
+    """Rounds one by one; the ranks of the first round that changes them by less than the tolerance."""
+    out = """WITH e0 AS (SELECT source_id s, target_id t, arg_max(coalesce(weight, 1.0), edge_type) w FROM edges GROUP BY ALL), e AS (SELECT s, t, w / sum(w) OVER (PARTITION BY s) p FROM e0),
+nd AS (SELECT DISTINCT id, id IN (SELECT s FROM e) has FROM (SELECT s id FROM e UNION SELECT t FROM e UNION SELECT id FROM chunks)), n AS (SELECT count(*) n FROM nd), r0 AS (SELECT id, has, 1.0::DOUBLE / n r FROM nd, n)
 """
-    return out + f"SELECT id, round(r, 6) rank FROM r{rounds}"
-
+    for k in range(_ROUNDS):
+        out += f""", r{k + 1} AS MATERIALIZED (SELECT o.id, o.has, o.r old, 0.85::DOUBLE * coalesce(g.got, 0) + 0.85::DOUBLE * (SELECT coalesce(sum(r), 0) FROM r{k} WHERE NOT has) / n + 0.15::DOUBLE / n r
+  FROM r{k} o CROSS JOIN n LEFT JOIN (SELECT t id, sum(r * p) got FROM r{k} JOIN e ON e.s = r{k}.id GROUP BY 1) g ON g.id = o.id)
+"""
+    out += ", steps AS (" + " UNION ALL ".join(f"SELECT {k} k, id, old, r FROM r{k}" for k in range(1, _ROUNDS + 1)) + "), "
+    return out + "pr AS (SELECT id, round(r, 6) rank FROM steps WHERE k = (SELECT min(k) FROM (SELECT k, sum(abs(r - old)) c FROM steps GROUP BY 1), n WHERE c < n * 1e-6))\n"
+
+
+_KEEP = "chunk_domain = 'content' AND \"language\" = 'markdown' AND file_path ILIKE '%docs/%_%'"
+_FILTERED = _bm25(PLAIN, 15, keep=_KEEP) + _knn(15).replace("\nkn AS (", "\nkn0 AS (") + f", kn AS (SELECT query_no, kn0.id, CAST(row_number() OVER (PARTITION BY query_no ORDER BY kn0.rank) AS INT) rank FROM kn0 JOIN chunks c ON c.id = kn0.id WHERE {_KEEP})" + _rrf(["bm", "kn"], 5)
+#: The prefix search of a query and project that neither branch answers.
+_PREFIX = _bm25(PLAIN, match="starts_with(p.w, q.t)").replace("WITH d AS", ", d AS", 1)
+for _name in ("d", "len", "st", "p", "q", "hp", "df", "sc", "full_", "bm"):
+    _PREFIX = re.sub(rf"(?<![\w.'{{]){_name}(?= AS \()", f"x_{_name}", _PREFIX)
+    _PREFIX = re.sub(rf"\b(FROM|JOIN) {_name}\b(?! AS \()", rf"\1 x_{_name} {_name}", _PREFIX)
+_PREFIX = _PREFIX.replace("x_len len USING (id), st GROUP", "x_len len USING (id), x_st st GROUP").replace("FROM x_q q z WHERE", "FROM x_q z WHERE")
+_CROSS = _bm25(PLAIN) + _knn() + _PREFIX + """, ps AS (SELECT * FROM (VALUES ('lantern-core', 0), ('tiny-postings', 1), ('detached-adapter', 3)) v(scope, no) WHERE scope IN (SELECT id FROM projects)),
+sc2 AS (SELECT c.id, scope, no FROM chunks c JOIN ps ON ps.scope = c.project_id),
+tx AS (SELECT query_no, scope, id, 0 l, row_number() OVER (PARTITION BY query_no, scope ORDER BY round(score, 9), id) rank FROM full_ JOIN sc2 USING (id) QUALIFY rank <= 30),
+vx AS (SELECT query_no, scope, id, 1 l, row_number() OVER (PARTITION BY query_no, scope ORDER BY kn.rank) rank FROM kn JOIN sc2 USING (id)),
+bx AS (SELECT * FROM tx UNION ALL SELECT * FROM vx),
+px AS (SELECT query_no, scope, id, 2 l, row_number() OVER (PARTITION BY query_no, scope ORDER BY round(score, 9), id) rank FROM x_full_ JOIN sc2 USING (id) WHERE (query_no, scope) NOT IN (SELECT (query_no, scope) FROM bx) QUALIFY rank <= 30),
+fu AS (SELECT query_no, scope, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) score, min((l, rank)) at_ FROM (SELECT * FROM bx UNION ALL SELECT * FROM px) GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_no, scope ORDER BY score DESC, at_, id) before FROM fu QUALIFY before <= 10),
+ic AS (SELECT chunk_id, count(*) n FROM chunk_interactions WHERE "timestamp" >= TIMESTAMP '{as_of}' - INTERVAL 30 DAY AND interaction IN ('read', 'edit') GROUP BY 1),
+b1 AS (SELECT query_no, scope, fr.id, round(score + 0.1::DOUBLE * least(coalesce(n, 0), 10) / 10, 6) score, before FROM fr LEFT JOIN ic ON ic.chunk_id = fr.id),
+b2 AS (SELECT *, row_number() OVER (PARTITION BY query_no, scope ORDER BY score DESC, before) r, count(*) OVER g n, min(score) OVER g lo, max(score) OVER g hi FROM b1 WINDOW g AS (PARTITION BY query_no, scope)),
+b3 AS (SELECT query_no, b2.id, scope, no, r, CASE WHEN n <= 1 THEN score WHEN hi = lo THEN 1.0 ELSE round((score - lo) / (hi - lo), 6) END norm, count(DISTINCT no) OVER (PARTITION BY query_no) lists FROM b2 JOIN ps USING (scope)),
+b4 AS (SELECT query_no, id, scope project_id, no, r, CASE WHEN lists = 1 THEN norm ELSE round(1.0::DOUBLE / (60 + r), 6) END score FROM b3)
+SELECT query_no, id, project_id, score, CAST(row_number() OVER (PARTITION BY query_no ORDER BY score DESC, no, r) AS INT) rank FROM b4 QUALIFY rank <= 10
+""".replace("{as_of}", AS_OF)
 
 SQL = {
     **edge_sql.SQL,
@@ -358,10 +408,10 @@ SQL = {
     "normalised_scores": _bm25(PLAIN) + """SELECT query_no, id, round(CASE WHEN count(*) OVER w <= 1 THEN -score WHEN max(-score) OVER w = min(-score) OVER w THEN 1.0 ELSE round((-score - min(-score) OVER w) / (max(-score) OVER w - min(-score) OVER w), 6) END, 5) score FROM bm WINDOW w AS (PARTITION BY query_no)""",
     "interaction_boost": _FUSED + _BOOST + "SELECT * FROM bo",
     "search_results": _FUSED + _BOOST + f"SELECT bo.*, project_id, file_path, name, {_SNIP} snippet FROM bo JOIN chunks USING (id)",
-    "search_rows": _FUSED + ", tx AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, '{q}')" for n, q in PLAIN) + f") v(query_no, query)) SELECT query, concat('[', coalesce(string_agg(id, ',' ORDER BY rank), ''), ']') result_chunk_ids, CAST(count(id) AS INT) result_count, TIMESTAMP '{AS_OF}' \"timestamp\" FROM tx LEFT JOIN rr USING (query_no) GROUP BY query",
-    "search_hits": _FUSED + f"SELECT id chunk_id, 'search_hit' interaction, 'search' source_tool, TIMESTAMP '{AS_OF}' \"timestamp\" FROM rr",
-    "cross_search": _bm25(PLAIN, 1_000_000) + """, pr AS (SELECT query_no, bm.id, project_id, row_number() OVER (PARTITION BY query_no, project_id ORDER BY rank) r FROM bm JOIN chunks c ON c.id = bm.id QUALIFY r <= 10)
-SELECT query_no, id, project_id, round(1.0::DOUBLE / (60 + r), 6) score, CAST(row_number() OVER (PARTITION BY query_no ORDER BY round(1.0::DOUBLE / (60 + r), 6) DESC, project_id, r) AS INT) place FROM pr QUALIFY place <= 10""",
+    "search_rows": _FUSED + ", tx AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, '{q}')" for n, q in PLAIN) + f") v(query_no, query)) SELECT query, NULL::VARCHAR project_id, 'all' domain, concat('[', coalesce(string_agg(id, ',' ORDER BY rank), ''), ']') result_chunk_ids, CAST(count(id) AS INT) result_count, TIMESTAMP '{AS_OF}' \"timestamp\" FROM tx LEFT JOIN rr USING (query_no) GROUP BY query",
+    "search_hits": _FUSED + f"SELECT id chunk_id, project_id, file_path, 'search_hit' interaction, 'search' source_tool, TIMESTAMP '{AS_OF}' \"timestamp\" FROM rr JOIN chunks USING (id)",
+    "cross_search": _CROSS,
+    "hybrid_filtered": _FILTERED + _BOOST + "SELECT * FROM bo",
     "sanitized_queries": "SELECT DISTINCT query, trim(regexp_replace(query, '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g')) clean FROM search_log",
     "snippets": f"SELECT id, {_SNIP} snippet FROM chunks",
     "path_filter": "SELECT id, file_path FROM chunks WHERE file_path ILIKE '%DOCS/%_index%%'",
@@ -375,7 +425,8 @@ SELECT query_no, id, project_id, round(1.0::DOUBLE / (60 + r), 6) score, CAST(ro
     "project_edges": "SELECT source_id, target_id, edge_type, weight FROM edges WHERE source_id IN (SELECT id FROM chunks WHERE project_id = 'lantern-core')",
     "bfs_neighbours": """WITH RECURSIVE two AS (SELECT source_id a, target_id b FROM edges UNION SELECT target_id, source_id FROM edges), w AS (SELECT id start, id, 0 depth FROM chunks WHERE id % 100 = 0
       UNION SELECT start, two.b, depth + 1 FROM w JOIN two ON two.a = w.id WHERE depth < 2) SELECT start, id, min(depth) depth FROM w WHERE id IN (SELECT id FROM chunks) GROUP BY 1, 2 HAVING min(depth) > 0""",
-    "pagerank": _pagerank_sql(10),
+    "pagerank": _pagerank_sql() + "SELECT * FROM pr",
+    "rank_metadata": _pagerank_sql() + "SELECT c.id, CAST(json_merge_patch(coalesce(metadata, '{}'), json_object('pagerank', rank)) AS VARCHAR) metadata FROM chunks c LEFT JOIN pr ON pr.id = c.id",
     "line_chunks": """WITH l AS (SELECT doc_id id, string_split(text, chr(10)) w FROM documents WHERE text IS NOT NULL), s AS (SELECT id, w, unnest(list_filter(range(0, greatest(len(w), 1), 8), lambda s: s = 0 OR len(w) - s > 2)) s FROM l)
       SELECT id, CAST(s // 8 AS INT) window_no, CAST(s + 1 AS INT) start_line, CAST(least(s + 10, len(w)) AS INT) end_line, array_to_string(w[s + 1:s + 10], chr(10)) content FROM s WHERE regexp_matches(array_to_string(w[s + 1:s + 10], chr(10)), '\\S')""",
     "stream_daily": """SELECT project_id, date_trunc('day', "timestamp") "day", count(*) total, count(*) FILTER (interaction = 'read') reads FROM chunk_interactions WHERE "timestamp" >= TIMESTAMP '2000-01-01' GROUP BY ALL""",
@@ -383,3 +434,8 @@ SELECT query_no, id, project_id, round(1.0::DOUBLE / (60 + r), 6) score, CAST(ro
     "stream_append": "SELECT id, query, result_count FROM search_log",
     "stream_state": """SELECT project_id, interaction, min(epoch_us("timestamp")) first_us, max(epoch_us("timestamp")) last_us, count(*) n FROM chunk_interactions WHERE "timestamp" IS NOT NULL AND project_id IS NOT NULL AND interaction IS NOT NULL GROUP BY 1, 2""",
 }
+_EACH = {t: f"SELECT source_id, target_id, edge_type FROM ({SQL[f'{t}_edges']})" for t in ("link", "import", "tag", "category", "semantic")}
+SQL["rebuilt_edge_counts"] = "SELECT edge_type, count(*) n FROM (" + " UNION ALL ".join(_EACH.values()) + ") GROUP BY 1"
+_OWN = "(SELECT * FROM chunks WHERE project_id = 'lantern-core')"
+SQL["rebuilt_project"] = f"""SELECT source_id, target_id, edge_type, weight FROM edges WHERE source_id NOT IN (SELECT id FROM {_OWN}) AND target_id NOT IN (SELECT id FROM {_OWN})
+  UNION ALL SELECT source_id, target_id, edge_type, weight FROM ({SQL['tag_edges'].replace('FROM chunks', f'FROM {_OWN}')}) UNION ALL SELECT source_id, target_id, edge_type, weight FROM ({SQL['category_edges'].replace('FROM chunks', f'FROM {_OWN}')})"""

@@ -51,10 +51,10 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df, eager: bool = True):
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def cut(df):
+    """``df`` with its lineage cut. A checkpoint would work out the rows twice, once to count them and
+    once to write them; a written table does it once."""
+    return written(df, "cut")
 
 
 def written(df, what: str, partition_by: list[str] | None = None):
