@@ -61,9 +61,10 @@ _lines = lambda *c: sum((F.coalesce(F.col(x), F.lit(0)) for x in c), F.lit(0))
 
 
 def churn(changes: DataFrame, commits: DataFrame, limit: int = 20) -> DataFrame:
-    """Files by number of distinct commits; deletions of files do not count."""
+    """Files by number of commits; deletions of files do not count. ``changes`` has one row per commit and
+    file, so rows are commits."""
     j = _joined(changes, commits).where("change_type <> 'D'")
-    got = j.groupBy("file_path").agg(F.countDistinct("project_id", "commit_hash").alias("commits"), F.sum(_lines("insertions")).alias("insertions"), F.sum(_lines("deletions")).alias("deletions"), F.sum(_lines("insertions", "deletions")).alias("churn"))
+    got = j.groupBy("file_path").agg(F.count(F.lit(1)).alias("commits"), F.sum(_lines("insertions")).alias("insertions"), F.sum(_lines("deletions")).alias("deletions"), F.sum(_lines("insertions", "deletions")).alias("churn"))
     return take(got.orderBy(F.desc("commits"), "file_path"), limit)
 
 
@@ -79,8 +80,8 @@ def hotspots(changes: DataFrame, commits: DataFrame, limit: int = 20) -> DataFra
 
 def crossover(changes: DataFrame, commits: DataFrame, reads: DataFrame, limit: int = 20) -> DataFrame:
     """Files with the commits that changed them and the days on which they were read or edited.
-    ``reads``: file_path, timestamp."""
-    c = _joined(changes, commits).where("change_type <> 'D'").groupBy("file_path").agg(F.countDistinct("project_id", "commit_hash").alias("churn"), F.sum(_lines("insertions", "deletions")).alias("lines_changed"))
+    ``changes`` has one row per commit and file; ``reads``: file_path, timestamp."""
+    c = _joined(changes, commits).where("change_type <> 'D'").groupBy("file_path").agg(F.count(F.lit(1)).alias("churn"), F.sum(_lines("insertions", "deletions")).alias("lines_changed"))
     r = reads.where("file_path IS NOT NULL").groupBy("file_path").agg(F.countDistinct(F.to_date("timestamp")).alias("reads"))
     got = c.join(r, "file_path", "full").select("file_path", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("churn", "reads", "lines_changed")))
     return take(got.orderBy(F.desc(F.col("churn") + F.col("reads")), "file_path"), limit)

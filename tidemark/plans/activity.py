@@ -17,16 +17,18 @@ def git_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     key = lambda c: (F.concat(F.lit("p"), F.col(c) % 5).alias("project_id"), F.md5(F.col(c).cast("string")))
     p, h = key("o_orderkey")
     commits = table(spark, d, "orders").select(p, h.alias("hash"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("timestamp"), F.col("o_orderpriority").alias("summary"))
-    p, h = key("l_orderkey")
     n = F.col("l_partkey") % 200
     binary = F.col("l_linenumber") == 7
     rows = table(spark, d, "lineitem").select(
-        p, h.alias("commit_hash"), F.concat(F.lit("d"), n % 7, F.lit("/f"), n, F.lit(".md")).alias("file_path"),
+        "l_orderkey", n.alias("n"),
         F.struct(
             F.col("l_linenumber").alias("no"), F.when(~binary, F.floor("l_quantity")).alias("insertions"), F.when(~binary, F.floor(F.round(F.col("l_discount") * 100))).alias("deletions"),
             F.when(F.col("l_returnflag") == "R", "D").when(F.col("l_returnflag") == "A", "R").otherwise("M").alias("change_type"), binary.alias("is_binary")).alias("v"))
-    first = rows.groupBy("project_id", "commit_hash", "file_path").agg(F.min("v").alias("v"))  # one line per order and file
-    return commits, first.select("project_id", "commit_hash", "file_path", "v.insertions", "v.deletions", "v.change_type", "v.is_binary")
+    # One line per order and file; names are made of the numbers after they have met.
+    first = rows.groupBy("l_orderkey", "n").agg(F.min("v").alias("v"))
+    p, h = key("l_orderkey")
+    path = F.concat(F.lit("d"), F.col("n") % 7, F.lit("/f"), F.col("n"), F.lit(".md"))
+    return commits, first.select(p, h.alias("commit_hash"), path.alias("file_path"), "v.insertions", "v.deletions", "v.change_type", "v.is_binary")
 
 
 GIT_SQL = f"""
