@@ -298,6 +298,39 @@ def test_splitting_round_trip():
         Splitter(overlap_lines=50)
 
 
+def merged_one_by_one(s, text):
+    """The pieces by scanning all boundaries for the weakest each time, without a heap."""
+    text = text.rstrip("\n")
+    atoms = s.atoms(text)
+    start = [a[0] for a in atoms] + [len(text)]
+    lines = np.cumsum([a[2] for a in atoms]) - 1
+    line_start = [a[0] for a in atoms if a[2]]
+
+    def lead(i):
+        back = line_start[max(0, lines[i] - s.overlap_lines)]
+        return back if atoms[i][2] and start[i] - back <= s.most else max(0, start[i] - s.overlap_chars)
+
+    def fits(lo, hi):
+        first = max(k for k in range(lo + 1) if start[k] <= lead(lo))
+        return start[hi] - lead(lo) <= s.max_chars and lines[hi - 1] - lines[first] + 1 <= s.max_lines
+
+    cuts = list(range(len(atoms) + 1))
+    while True:
+        open_ = [(atoms[cuts[k]][1], start[cuts[k + 1]] - start[cuts[k - 1]], cuts[k]) for k in range(1, len(cuts) - 1) if fits(cuts[k - 1], cuts[k + 1])]
+        if not open_:
+            return [(lead(a), start[b]) for a, b in zip(cuts[:-1], cuts[1:])]
+        cuts.remove(min(open_)[2])
+
+
+def test_splitting_against_merging_one_by_one():
+    rng = random.Random(31)
+    s = Splitter(max_chars=300, max_lines=8, overlap_lines=2, overlap_chars=40)
+    for _ in range(40):
+        lines = [rng.choice(["", "## Head", "def f():", "    x = 1", "```", prose(rng, 4), prose(rng, 9), prose(rng, 60), "a" * rng.randrange(1, 400)]) for _ in range(rng.randrange(9, 40))]
+        text = "\n".join([*lines, "end"])
+        assert s.pieces(text) == merged_one_by_one(s, text)
+
+
 def test_splitting_prefers_headings():
     text = "\n".join(["## One"] + ["words words words"] * 30 + ["## Two"] + ["words words words"] * 30)
     pieces = [text[a:b] for a, b in Splitter().pieces(text)]

@@ -121,15 +121,20 @@ class Splitter:
         head = list(range(n))  # of the piece that ends before atom i + 1, kept at its last atom
         heap = [(atoms[i][1], start[i + 1] - start[i - 1], i) for i in range(1, n)]
         heapq.heapify(heap)
+        gone = [False] * n
         while heap:
             strength, size, i = heapq.heappop(heap)
+            if gone[i]:
+                continue
             lo, hi = head[i - 1], end[i]
             if not fits(lo, hi):
-                continue  # pieces only grow, so this boundary stays
+                continue  # stays, unless what is before it comes to begin where less is repeated
             if start[hi] - start[lo] != size:
                 heapq.heappush(heap, (strength, start[hi] - start[lo], i))
                 continue
-            end[lo], head[hi - 1] = hi, lo
+            end[lo], head[hi - 1], gone[i] = hi, lo, True
+            if hi < n:
+                heapq.heappush(heap, (atoms[hi][1], start[end[hi]] - start[lo], hi))
         out, i = [], 0
         while i < n:
             out.append((lead[i], start[end[i]]))
