@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql.types import StringType
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.session import written
 from tidemark.sources.config import BINARY_SUFFIXES, DEFAULT_IGNORE, KEPT_DOT_FOLDERS, LANGUAGE_OF, LANGUAGE_OF_NAME
 
 
@@ -83,6 +84,10 @@ def wanted(path: Column, length: Column, ignore: list[str] | None = None, max_kb
     return ~F.lower(suffix_of(path)).isin(*[x.lower() for x in BINARY_SUFFIXES]) & (name != ".DS_Store") & ~hidden & ~ignored(path, DEFAULT_IGNORE if ignore is None else ignore) & (length <= max_kb * 1024)
 
 
+#: Folders that the driver finds before tasks go on.
+FOLDERS = 64
+
+
 def _file_system(root: str):
     from pyarrow import fs
 
@@ -92,15 +97,34 @@ def _file_system(root: str):
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, max_kb: int = 500) -> DataFrame:
     """``file_path, length, file_hash, text`` of the wanted files below ``root``.
 
-    The listing holds names and sizes only; Spark's own would leave out names that begin with a dot
-    or an underscore. Paths and sizes are filtered before executors read any content.
+    The driver lists folders level by level until there are ``FOLDERS`` of them, tasks list what is
+    below these; Spark's own listing would leave out names that begin with a dot or an underscore. Paths
+    and sizes are filtered before any content is read.
     """
     from pyarrow import fs
 
-    system, base = _file_system(root.rstrip("/"))
-    listed = [(i.path, i.path[len(base) :].lstrip("/"), i.size) for i in system.get_file_info(fs.FileSelector(base, recursive=True)) if i.type == fs.FileType.File]
-    df = spark.createDataFrame(listed, "path string, file_path string, length bigint")
-    df = df.where(wanted(F.col("file_path"), F.col("length"), ignore, max_kb)).repartition(max(1, min(10_000, len(listed) // 200)))
+    root = root.rstrip("/")
+    base = _file_system(root)[1]
+    found, folders = [], [base]
+    while folders and len(folders) < FOLDERS:
+        inside = [i for f in folders for i in _file_system(root)[0].get_file_info(fs.FileSelector(f))]
+        found += [(i.path, i.size) for i in inside if i.type == fs.FileType.File]
+        folders = [i.path for i in inside if i.type == fs.FileType.Directory]
+
+    def walk(batches):
+        own = _file_system(root)[0]
+        for pdf in batches:
+            for folder in pdf["path"]:
+                got = [(i.path, i.size) for i in own.get_file_info(fs.FileSelector(folder, recursive=True)) if i.type == fs.FileType.File]
+                yield pd.DataFrame(got, columns=["path", "length"])
+
+    df = spark.createDataFrame(found, "path string, length bigint")
+    if folders:
+        below = spark.createDataFrame([(f,) for f in folders], "path string").repartition(len(folders))
+        df = df.unionByName(below.mapInPandas(walk, "path string, length bigint"))
+    df = df.withColumn("file_path", F.ltrim(F.substr("path", F.lit(len(base) + 1)), F.lit("/")))
+    df = written(df.where(wanted(F.col("file_path"), F.col("length"), ignore, max_kb)), "listed")
+    df = df.repartition(max(1, df.count() // 200))  # by the number of files, as their names say nothing about their size
 
     def read(batches):
         own = _file_system(root)[0]
