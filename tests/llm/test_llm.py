@@ -161,7 +161,7 @@ def test_labeller_on_injected_markup():
     alike, doc_precision, doc_recall, precision, recall = markup_train.agreement(markup.network(), docs)
     assert alike > 0.95 and min(doc_precision, doc_recall, precision, recall) > 0.98
     rules = [set().union(*markup_train.weak_labels(d)) == set().union(*y) for d, y in docs]
-    assert alike > np.mean(rules)
+    assert alike >= np.mean(rules)
 
 
 # ---------------------------------------------------------------- 4

@@ -181,6 +181,7 @@ _INLINE = {
     "wiki": ["{0} '''{2}''' {1}", "{0} ''{2}'' {1}", "{0} [[{2}]] {1}", "{0} [[{2}|{0}]] {1}", "{{{{cite|{2}}}}} {0}", "{0} [https://docs.example/{2} {1}]", "{0}<ref>{1}</ref>", "{{{{{2}|x=1}}}} {0}"],
     "latex": ["{0} \\emph{{{2}}} {1}", "{0} \\textbf{{{2}}} {1}", "{0} \\cite{{{2}}} {1}", "{0} ``{2}'' {1}", "{0} \\texttt{{{2}}} {1}", "{0}\\footnote{{{1}}}", "{0} \\ref{{{2}}} {1}", "{0} 50\\% {1}"],
 }
+_PIECE = {"html": " <b>{2}</b>", "markdown": " **{2}**", "wiki": " '''{2}'''", "latex": " \\emph{{{2}}}"}
 _HEADS = {"html": ["<h{3}>{0}</h{3}>"], "markdown": ["## {0}", "### {0}", "# {0}", "#### {0} ####"], "wiki": ["== {0} ==", "=== {0} ==="], "latex": ["\\section{{{0}}}", "\\subsection{{{0}}}", "\\section*{{{0}}}", "\\chapter{{{0}}}"]}
 _ITEMS = {
     "html": (["<ul>"], ["<li>{0}</li>"], ["</ul>"]), "markdown": ([], ["- {0} {1}", "* {0} {1}", "+ {0}", "{4}. {0}"], []),
@@ -191,8 +192,8 @@ _FORMULAS = ["{0} $x_{4}^2 + y$ {1}", "{0} \\(a = b\\) {1}", "$$\ne = mc^{4}\n$$
 
 
 def inject(sentences: list[str], rng) -> tuple[list[Leaf], list[set]] | None:
-    """A document of one language or none, made of plain sentences, and the labels of its leaves; None
-    where lines and leaves do not go together."""
+    """A document of one language, two or none, made of plain sentences, and the labels of its leaves;
+    None where lines and leaves do not go together."""
     language = [*_INLINE, None][rng.integers(0, 5)]
     pick = lambda x: x[rng.integers(0, len(x))]
 
@@ -203,6 +204,15 @@ def inject(sentences: list[str], rng) -> tuple[list[Leaf], list[set]] | None:
     if language == "markdown" and rng.random() < 0.3:  # nothing but what wikis write alike
         heads, items, inlines = [], ([], ["* {0} {1}", "* {2}"], []), ["{0} *{2}* {1}", "{0} _{2}_ {1}"]
     lines: list[tuple[str, set]] = []
+    if rng.random() < 0.15:  # two languages, and a notation of both that belongs to the one with more lines
+        n = rng.permutation(14)[:2] + 1
+        for k, name in zip(n, ("markdown", "wiki")):
+            lines += [(fill(pick([_INLINE[name][0], _INLINE[name][1 if name == "markdown" else 2]])), {(name, "inline")}) for _ in range(k)]
+        lines = [x for i in rng.permutation(len(lines)) for x in (lines[i], ("", set()))]
+        shared = [(fill("* {0}"), {("markdown" if n[0] > n[1] else "wiki", "list")}) for _ in range(rng.integers(1, 4))]
+        at = pick([0, len(lines)])
+        lines[at:at] = [*shared, ("", set())]
+        return _aligned(lines)
     for _ in range(rng.integers(1, 14)):
         kind = pick(["plain", "plain", "decoy", "heading", "list", "code_block", "inline", "inline", "formula"])
         if language and not heads and kind in ("heading", "code_block"):
@@ -225,7 +235,19 @@ def inject(sentences: list[str], rng) -> tuple[list[Leaf], list[set]] | None:
             block = [(x, own) for x in [fill(open_), *(pick(_CODE) for _ in range(rng.integers(1, 5))), fill(close)]]
         else:
             block = [(x, {("latex", "formula")}) for x in fill(pick(_FORMULAS)).split("\n")]
+        if kind in ("plain", "inline", "list") and rng.random() < 0.3:  # a second element in a line
+            at = rng.integers(0, len(block))
+            text, had = block[at]
+            if rng.random() < 0.5:
+                block[at] = (text + fill(" $a_{4} < b^{3}$"), had | {("latex", "formula")})
+            elif language and kind != "plain" and not text.startswith(("\\begin", "\\end", "<ul", "</ul")):
+                block[at] = (text + fill(_PIECE[language]), had | {(language, "inline")})
         lines += [*block, ("", set())] if rng.random() < 0.8 else block
+    return _aligned(lines)
+
+
+def _aligned(lines: list[tuple[str, set]]) -> tuple[list[Leaf], list[set]] | None:
+    """The leaves of lines with known labels, and theirs."""
     found = leaves("\n".join(x for x, _ in lines))
     truth, at = [], 0
     for leaf in found:
