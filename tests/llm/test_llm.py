@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import leaks, markup, markup_train, mixing, neardup, neighbours, repetition
+from tidemark.llm import leaks, markup, markup_train, mixing, neardup, neighbours, queries, repetition
 from tidemark.llm.neighbours import Neighbours
 from tidemark.llm.splitting import Splitter, split_oversized
 
@@ -402,6 +402,89 @@ def test_leaks_with_edits(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def distance(run, text):
+    """Fewest edits between ``run`` and a part of ``text``, by the whole table."""
+    col, best = list(range(len(run) + 1)), len(run)
+    for c in text:
+        new = [0]
+        for i, r in enumerate(run, 1):
+            new.append(min(col[i - 1] + (r != c), col[i] + 1, new[-1] + 1))
+        col, best = new, min(best, new[-1])
+    return best
+
+
+def edited(rng, s, n, letters="qxz7"):
+    for _ in range(n):
+        i, how = rng.randrange(len(s)), rng.randrange(3)
+        s = s[:i] + ("" if how == 2 else rng.choice(letters)) + s[i + (how > 0) :]
+    return s
+
+
+def test_edits_within():
+    rng = random.Random(3)
+    for _ in range(3000):
+        run, text = ("".join(rng.choice("abc") for _ in range(rng.randrange(low, 15))) for low in (1, 0))
+        for most in range(4):
+            want = distance(run, text)
+            assert leaks.edits_within(run, text, most) == (want if want <= most else None)
+
+
+@pytest.mark.parametrize("shortest, edits", [(1, 2), (5, 1), (12, 0), (12, 2), (40, 1), (40, 3)])
+def test_sieve_loses_nothing(shortest, edits):
+    rng = random.Random(shortest)
+    text = lambda n: "".join(rng.choice("abcdefghijkl") for _ in range(n))
+    items = [text(120) for _ in range(100)]
+    sieve = leaks.Sieve(shortest, edits, 12_000)
+    marks = sieve.marks(items)
+    runs, streams = [], []
+    for _ in range(300):
+        item, n = rng.choice(items), rng.randrange(shortest, min(120, 2 * shortest) + 1)
+        at = rng.randrange(120 - n + 1)
+        runs.append((item, item[at : at + n]))
+        streams.append(text(rng.choice([0, 2, 150])) + edited(rng, item[at : at + n], min(edits, n - 1)) + text(rng.choice([0, 2, 150])))
+    for (item, run), stream, parts in zip(runs, streams, sieve.stretches(streams, marks)):
+        best = distance(run, stream)
+        assert best > edits or any(distance(run, p) == best and bits >> leaks.group_of(item) & 1 for p, bits in parts)
+    assert not any(sieve.stretches(["", ""], marks)) and sieve.stretches([], marks) == []
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_count_edits(spark, monkeypatch, edits):
+    """Items with runs too short for the walk beside longer ones, sent to all tasks or shuffled."""
+    rng = random.Random(8)
+    items = [(i, prose(rng, 22)) for i in range(12)] + [(50, "a b c d e f g h i j k l m"), (51, "too short"), (52, None)]
+    docs = [(900, None), (901, ""), (902, "xx ABC-dEf gHi jzl"), (903, "abcdef"), (904, "…")]
+    for i in range(90):
+        words = items[i % 12][1].split()
+        at = rng.randrange(len(words) - 12)
+        docs.append((i, prose(rng, rng.choice([0, 15])) + " " + edited(rng, " ".join(words[at : at + 12]), rng.randrange(4)) + " " + prose(rng, rng.choice([0, 15]))))
+    want = {}
+    for d, t in docs:
+        for i, x in items:
+            if t and x and leaks.squeeze(t) and (n := min((distance(w, leaks.squeeze(t)) for w in leaks.item_windows(x, 12)), default=99)) <= edits:
+                want[d, i] = n
+    assert set(want.values()) == set(range(edits + 1)) and want[902, 50] == 1
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, item_text string")
+    run = lambda: sorted(tuple(r) for r in leaks.count_edits(df, "doc_id", "text", it, "item_id", "item_text", max_edits=edits).collect())
+    assert run() == sorted((d, i, n) for (d, i), n in want.items())
+    monkeypatch.setattr(leaks, "BROADCAST_CHARS", 0)
+    assert run() == sorted((d, i, n) for (d, i), n in want.items())
+
+
+def test_p8_queries(spark, tmp_path, monkeypatch):
+    """p8_found comes from the search with edits, in many tables, and has only the rows without one."""
+    rng = random.Random(12)
+    items = [(i, prose(rng, 14)) for i in range(30)]
+    docs = [(10 * i + n, prose(rng, 20) + " " + (x if n == 0 else x.replace(x[45:55], x[45:49] + "#q" * n + x[49:55], 1)) + " " + prose(rng, 20)) for i, x in items for n in range(3)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, item_text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    made, init = [], leaks.Embedder.__init__
+    monkeypatch.setattr(leaks.Embedder, "__init__", lambda self, *a, **k: (init(self, *a, **k), made.append(self.tables))[0])
+    exact = {(10 * i, i) for i, _ in items}
+    assert {tuple(r) for r in queries.p8_found(spark, str(tmp_path)).collect()} == exact and min(made) > 1
+    assert {tuple(r) for r in queries.p8_edits(spark, str(tmp_path)).collect()} == {(d, i, 0) for d, i in exact} | {(d + 1, i, 1) for d, i in exact}
+
+
 # ---------------------------------------------------------------- 9
 
 

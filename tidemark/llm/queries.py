@@ -62,9 +62,15 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).drop("too_long", "too_many_lines")
 
 
+def p8_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that contain twelve consecutive words of an evaluation item with up to one edit of their
+    letters and digits, and how many edits it takes."""
+    return leaks.count_edits(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text", max_edits=1)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that contain twelve consecutive words of an evaluation item."""
-    return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
+    """Documents that contain twelve consecutive words of an evaluation item: the leaks without an edit."""
+    return p8_edits(spark, d).where("edits = 0").select("doc_id", "item_id")
 
 
 def _plan(spark: SparkSession, d: str):
@@ -166,7 +172,7 @@ re AS (SELECT source, sum(tokens * copies)::BIGINT tokens, sum(copies)::BIGINT u
 _WIDE = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F) if chr(c).isalnum()), "".join(chr(c) for c in range(0x21, 0x7F) if chr(c).isalnum())
 _PLAIN = "strip_accents(replace(lower(translate({0}, '" + _WIDE[0] + "', '" + _WIDE[1] + "')), 'ß', 'ss'))"
 _LINE = r"trim(regexp_replace(regexp_replace(lower(line), '\p{N}+', '0', 'g'), '[^\p{L}0]+', ' ', 'g'))"
-QUERIES = {f.__name__: f for f in (p1_found, p1_edges, p3_found, p3_clean, p4_found, p4_classes, p5_found, p5_pieces, p8_found, p9_found, p9_budgets, p9_mix, p9_shares, p10_found, p10_shares, p10_lines)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_edges, p3_found, p3_clean, p4_found, p4_classes, p5_found, p5_pieces, p8_edits, p8_found, p9_found, p9_budgets, p9_mix, p9_shares, p10_found, p10_shares, p10_lines)}
 SQL: dict[str, str] = {
     "p1_found": _NEAREST + "SELECT DISTINCT least(id, other) id_a, greatest(id, other) id_b FROM t",
     "p1_edges": _NEAREST + "SELECT id source_id, other target_id, round(cosine, 4) weight, place FROM t",
@@ -196,3 +202,10 @@ m AS (SELECT n.*, c.norm IS NOT NULL gone FROM n LEFT JOIN c ON c.host = n.host
 SELECT doc_id, host, count(*) n_lines, CAST(count(*) FILTER (gone) AS BIGINT) n_removed, 1 - sum(CASE WHEN gone THEN chars ELSE 0 END) / sum(chars) chars_left_share,
   1 - sum(CASE WHEN gone THEN chars ELSE 0 END) / sum(chars) < 0.5 rejected FROM m GROUP BY ALL""",
 }
+# With one edit one half of a run is untouched: the other is compared where that half stands.
+SQL["p8_edits"] = SQL["p8_found"].rsplit("\n", 1)[0] + """,
+h AS (SELECT *, length(run) // 2 half FROM r),
+p AS (SELECT item_id, run, 0 off, left(run, half) piece FROM h UNION ALL SELECT item_id, run, half, substr(run, half + 1) FROM h),
+m AS (SELECT *, unnest(list_filter(range(1, length(t) - length(piece) + 2), lambda k: substr(t, k, length(piece)) = piece)) - off s FROM d JOIN p ON contains(d.t, p.piece)),
+n AS (SELECT doc_id, item_id, levenshtein(run, substr(t, s + ds, length(run) + dl)) edits FROM m, unnest([-1, 0, 1]) a(ds), unnest([-1, 0, 1]) b(dl) WHERE s + ds >= 1)
+SELECT doc_id, item_id, CAST(min(edits) AS INT) edits FROM n WHERE edits <= 1 GROUP BY ALL"""
