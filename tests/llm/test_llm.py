@@ -471,6 +471,18 @@ def test_count_edits(spark, monkeypatch, edits):
     assert run() == sorted((d, i, n) for (d, i), n in want.items())
 
 
+def test_short_items_apart(spark, monkeypatch):
+    """An item of short words has windows of its own and leaves those of the others as they are."""
+    rng = random.Random(2)
+    long, short = (0, prose(rng, 20)), (1, "a1 b2 c3 d4 e5 f6 g7 h8 i9 j0 k1 l2 m3")
+    shortest, init = [], leaks.Embedder.__init__
+    monkeypatch.setattr(leaks.Embedder, "__init__", lambda self, n, *a, **k: (init(self, n, *a, **k), shortest.append(n))[0])
+    df = spark.createDataFrame([(7, long[1]), (8, short[1])], "doc_id bigint, text string")
+    run = lambda items: sorted(tuple(r) for r in leaks.count_edits(df, "doc_id", "text", spark.createDataFrame(items, "item_id bigint, item_text string"), "item_id", "item_text", max_edits=1).collect())
+    assert run([long]) == [(7, 0, 0)] and run([long, short]) == [(7, 0, 0), (8, 1, 0)]
+    assert shortest[0] > 48 and shortest[1:] == [24, shortest[0]]
+
+
 def test_p8_queries(spark, tmp_path, monkeypatch):
     """p8_found comes from the search with edits, in many tables, and has only the rows without one."""
     rng = random.Random(12)

@@ -308,9 +308,10 @@ def count_edits(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, i
 
     Null, empty and short texts on either side match nothing, as do items with fewer words. Rows
     with a null id are left out; repeated ids of documents give a row each. Documents are read whole,
-    however long. The shortest run of all items sets the window length, so even runs of very short
-    words are found; items with runs that are too short for the walk at so many edits are compared with
-    every stretch that the sieve leaves. Equal runs always share a key, so those are never missed.
+    however long. Items are searched by classes of the length of their shortest run, which sets that of
+    the windows, so that a few items of short words do not weaken the search for all. Where a class is
+    too short for the walk at so many edits, its items are compared with every stretch that the sieve
+    leaves. Equal runs always share a key, so those are never missed.
     """
     spark = docs.sparkSession
     own = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item_text")).where("item_id IS NOT NULL AND item_text IS NOT NULL")
@@ -323,14 +324,16 @@ def count_edits(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, i
 
     own = own.withColumn("m", shortest("item_text")).where("m IS NOT NULL")
     sizes = {r.m: r.n for r in own.groupBy("m").agg(F.sum(F.length("item_text")).alias("n")).collect()}  # a row per length
-    walked = [m for m in sizes if Embedder.plan(m, max_edits, recall)[-1] <= MAX_TABLES]
-    bound = max((m for m in sizes if m not in walked), default=0)
+    classes: list[list[int]] = []
+    for m in sorted(sizes):
+        if not classes or m >= 2 * classes[-1][0]:
+            classes.append([])
+        classes[-1].append(m)
     found = spark.createDataFrame([], f"doc_id {doc_type}, item_id {item_type}, edits int")
-    for part, some in (("m > {}", [m for m in sizes if m > bound]), ("m <= {}", [m for m in sizes if m <= bound])):
-        if some:
-            emb = Embedder(min(some), max_edits, recall) if min(some) > bound else None
-            got = _leaks_of(texts, own.where(part.format(bound)).drop("m"), min(some), sum(sizes[m] for m in some), emb, words, max_edits, found.schema)
-            found = got if min(some) > bound else found.unionByName(got)
+    for n, some in enumerate(classes):
+        emb = Embedder(some[0], max_edits, recall) if Embedder.plan(some[0], max_edits, recall)[-1] <= MAX_TABLES else None
+        got = _leaks_of(texts, own.where(F.col("m").between(some[0], some[-1])).drop("m"), some[0], sum(sizes[m] for m in some), emb, words, max_edits, found.schema)
+        found = found.unionByName(got) if n else got
     return found
 
 
